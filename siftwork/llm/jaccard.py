@@ -2,10 +2,12 @@
 
 1. Every text's shingles are counted into a sketch of fixed size, which gives one global order of
    n-grams for all documents: rarer ones (by sketch class) first, then by hash.
-2. Documents with equal sets are one class. The first n - ceil(t * n) + 1 n-grams of a class in the
-   global order are its prefix: two classes with similarity t or more share a prefix n-gram.
-3. Classes that share a prefix n-gram meet in groups, which are cut into blocks. In a block, sets
-   are cut vertically into fragments of the global order; overlaps are counted in each fragment
+2. Documents with equal sets are one class. The first n - ceil(t * n) + l(n) n-grams of a class in
+   the global order are its prefix, l(n) = 1 + n // 20: two classes with similarity t or more share
+   min(l) of them, so a class with fewer shared ones than l(ceil(t * n)) has no link and goes.
+3. Classes that share a prefix n-gram meet in groups, which are cut into blocks. Rows that share too
+   few prefix n-grams with any other in their block go; to the rest their whole sets are joined, and
+   these are cut vertically into fragments of the global order; overlaps are counted in each fragment
    separately, as a product of small matrices, and summed for each pair.
 4. A block returns a spanning forest of its links, not all pairs, and skips pairs that are already
    in one component. First a sample of the n-grams, then all of them, let leaders of each group
@@ -96,8 +98,14 @@ def _digest(x: np.ndarray) -> tuple[int, int]:
     return int(mix(x).sum(dtype=np.uint64).view(np.int64)), int(mix(x ^ np.uint64(0x5DEECE66D1234567)).sum(dtype=np.uint64).view(np.int64))
 
 
+def must_share(n: int) -> int:
+    """n-grams that two prefixes have in common if the sets are similar, for sets of n or more."""
+    return 1 + n // 20
+
+
 def prefix(n: int, percent: int) -> int:
-    return n + (-percent * n // 100) + 1 if n else 0
+    """Length of the prefix: with overlap o, first parts of n - o + l share l, and o >= ceil(t * n)."""
+    return min(n, n + (-percent * n // 100) + must_share(n))
 
 
 def _prefixes(width: int, percent: int, packed: bytes):
@@ -120,18 +128,23 @@ def _prefixes(width: int, percent: int, packed: bytes):
     return run
 
 
-def _grams(width: int, packed: bytes, wanted: bytes):
-    """The whole ordered set of each document whose doc_id the filter holds, or is null."""
+def _grams(width: int, packed: bytes, wanted: bytes, kinds: bytes):
+    """The whole ordered set of documents whose doc_id (or null) and class the filters hold.
+
+    A few others pass too; they join nothing later, or meet their own class, which links nothing.
+    """
     classes = np.frombuffer(packed, np.uint8)
 
     def run(batches):
-        words = load(wanted)
+        words, known = load(wanted), load(kinds)
         for b in batches:
             col = b.column("doc_id")
             hit = may_hold(words, np.asarray(col.fill_null(0)).astype(np.int64)) | np.asarray(col.is_null())
             b = b.filter(pa.array(hit))
             for part in sliced(b, "text", 2 << 20):
-                every = [(_digest(x)[0], _ordered(x, classes)) for x in _sets(part, width) if len(x)]
+                every = [(_digest(x)[0], x) for x in _sets(part, width) if len(x)]
+                held = may_hold(known, np.array([c for c, _ in every], np.int64))
+                every = [(c, _ordered(x, classes)) for (c, x), ok in zip(every, held, strict=True) if ok]
                 if every:
                     off = np.concatenate([[0], np.cumsum([len(k) for _, k in every])])
                     keys = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate([k for _, k in every]), pa.int64()))
@@ -140,8 +153,8 @@ def _grams(width: int, packed: bytes, wanted: bytes):
     return run
 
 
-def _shared(packed: bytes):
-    """Prefix n-grams that the filter holds, one row each."""
+def _shared(packed: bytes, percent: int):
+    """Prefix n-grams that the filter holds, one row each, of classes with as many as a link needs."""
 
     def run(batches):
         words = load(packed)
@@ -150,11 +163,27 @@ def _shared(packed: bytes):
             flat = np.asarray(head.flatten())
             hit = np.flatnonzero(may_hold(words, flat))
             row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(head.offsets)))[hit]
+            enough = np.bincount(row, minlength=b.num_rows) >= _least(np.asarray(b.column("n")), percent)
+            hit, row = hit[enough[row]], row[enough[row]]
             yield pa.RecordBatch.from_arrays([b.column("cid").take(pa.array(row)), b.column("n").take(pa.array(row)), pa.array(flat[hit])], ["cid", "n", "gram"])
 
     return run
 
 
+def _least(n: np.ndarray, percent: int) -> np.ndarray:
+    """Shared prefix n-grams that a set of n has at least if it has a link: its partner has t * n or more."""
+    return must_share((n * percent + 99) // 100)
+
+
+def _filtered(packed: bytes):
+    def run(batches):
+        words = load(packed)
+        for b in batches:
+            yield b.filter(pa.array(may_hold(words, np.asarray(b.column("cid")).astype(np.int64))))
+
+    return run
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], cells: int = CELLS) -> np.ndarray:
     """Overlap of each pair of sets: partial overlaps of each fragment of the order, summed."""
     out = np.zeros((len(left), len(right)), np.float64)
@@ -206,44 +235,85 @@ def _links(side: np.ndarray, comp: np.ndarray, size: np.ndarray, keys: list[np.n
     return out
 
 
-def _tested(percent: int):
-    """Edges between components, from rows (gram, i, j, side, comp, n, keys) sorted by (gram, i, j)."""
+def _blocks(each):
+    """Streams rows sorted by (gram, i, j); each(rows, starts) gets whole blocks: a table, and where they start."""
+    names = ("gram", "i", "j")
+
+    def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches([r for r in rows if r.num_rows]).combine_chunks()
+        key = [np.asarray(t.column(c)) for c in names]
+        new = np.append(True, np.any([k[1:] != k[:-1] for k in key], axis=0))
+        return each(t, [*np.flatnonzero(new).tolist(), t.num_rows])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
-
-        def flush(rows: list[pa.RecordBatch]) -> list[tuple[int, int]]:
-            t = pa.Table.from_batches(rows).combine_chunks()
-            key = [np.asarray(t.column(c)) for c in ("gram", "i", "j")]
-            new = np.append(True, np.any([k[1:] != k[:-1] for k in key], axis=0))
-            side, comp, size = (np.asarray(t.column(c)) for c in ("side", "comp", "n"))
-            lists = t.column("keys").chunk(0) if t.column("keys").num_chunks else pa.array([], pa.list_(pa.int64()))
-            flat, off = np.asarray(lists.flatten()), np.asarray(lists.offsets)
-            off = (off - off[0]).tolist()
-            starts = [*np.flatnonzero(new).tolist(), len(side)]
-            out = []
-            for a, b in zip(starts[:-1], starts[1:], strict=True):
-                if b - a > 1:
-                    out += _links(side[a:b], comp[a:b], size[a:b], [flat[off[i] : off[i + 1]] for i in range(a, b)], key[1][a] == key[2][a], percent)
-            return out
-
         for b in batches:
             if not b.num_rows:
                 continue
-            last = [b.column(c)[b.num_rows - 1].as_py() for c in ("gram", "i", "j")]
-            tail = np.all([np.asarray(b.column(c)) == v for c, v in zip(("gram", "i", "j"), last, strict=True)], axis=0)
-            cut = int(np.argmax(tail))
-            if cut or (held and [held[-1].column(c)[0].as_py() for c in ("gram", "i", "j")] != last):
-                rows = [*held, b.slice(0, cut)]
-                yield _edges(flush([r for r in rows if r.num_rows]))
+            last = [b.column(c)[b.num_rows - 1].as_py() for c in names]
+            cut = int(np.argmax(np.all([np.asarray(b.column(c)) == v for c, v in zip(names, last, strict=True)], axis=0)))
+            if cut or (held and [held[-1].column(c)[0].as_py() for c in names] != last):
+                if cut:
+                    held.append(b.slice(0, cut))
+                if held:
+                    yield flush(held)
                 held = []
             held.append(b.slice(cut))
         if held:
-            yield _edges(flush(held))
+            yield flush(held)
 
     return run
 
 
+def _lists(t: pa.Table, column: str) -> tuple[np.ndarray, list[int]]:
+    lists = t.column(column).chunk(0)
+    off = np.asarray(lists.offsets)
+    return np.asarray(lists.flatten()), (off - off[0]).tolist()
+
+
+def _tested(percent: int):
+    """Edges between components, from blocks of (gram, i, j, side, comp, n, keys)."""
+
+    def each(t: pa.Table, starts: list[int]) -> pa.RecordBatch:
+        i, j, side, comp, size = (np.asarray(t.column(c)) for c in ("i", "j", "side", "comp", "n"))
+        flat, off = _lists(t, "keys")
+        out = []
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            if b - a > 1:
+                out += _links(side[a:b], comp[a:b], size[a:b], [flat[off[k] : off[k + 1]] for k in range(a, b)], i[a] == j[a], percent)
+        return _edges(out)
+
+    return _blocks(each)
+
+
+def _promising(percent: int):
+    """Rows of blocks that have a partner: of another component, of like size, and with enough shared prefix n-grams."""
+    names = ["gram", "i", "j", "side", "cid", "comp", "n"]
+
+    def each(t: pa.Table, starts: list[int]) -> pa.RecordBatch:
+        i, j, side, comp, size = (np.asarray(t.column(c)) for c in ("i", "j", "side", "comp", "n"))
+        flat, off = _lists(t, "grams")
+        need = must_share(size)
+        keep = np.zeros(t.num_rows, bool)
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            if i[a] == j[a]:
+                x = y = np.arange(a, b)
+            else:
+                x, y = a + np.flatnonzero(side[a:b] == 0), a + np.flatnonzero(side[a:b] == 1)
+            if b - a < 2 or not len(x) or not len(y) or comp[a:b].min() == comp[a:b].max():
+                continue
+            small, large = np.minimum(size[x][:, None], size[y]), np.maximum(size[x][:, None], size[y])
+            ok = (100 * small >= percent * large) & (comp[x][:, None] != comp[y])
+            if ok.any():
+                ok &= overlaps([flat[off[k] : off[k + 1]] for k in x], [flat[off[k] : off[k + 1]] for k in y]) >= np.minimum(need[x][:, None], need[y])
+                keep[x] |= ok.any(axis=1)
+                keep[y] |= ok.any(axis=0)
+        out = t.select(names).filter(pa.array(keep)).combine_chunks()
+        return pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in out.columns], names)
+
+    return _blocks(each)
+
+
 def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
@@ -277,14 +347,23 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = WIDTH,
     classes = gram_classes(docs, width)
     sets = work.table(docs.mapInArrow(_prefixes(width, percent, classes), "doc_id long, n long, cid long, check long, head array<long>"), "sets")
     whole = work.table(sets.filter("n > 0").groupBy("cid", "check", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("head").alias("head")), "classes")
-    seen = whole.select(F.explode("head").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    seen = work.table(seen, "grams")
+    seen = work.table(whole.select(F.explode("head").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("gram"), "grams")
     some = build(seen.select("gram"), "gram", bits_for(seen.count()))
-    rows = work.table(whole.select("cid", "n", "head").mapInArrow(_shared(some), "cid long, n long, gram long").join(seen, "gram").select("gram", "cid", "n", "m", F.col("cid").alias("comp")), "rows")
-    ids = whole.join(rows.select("cid").distinct(), "cid").select("cid", "least")
-    ids = work.table(ids, "ids")
-    wanted = build(ids.select("least"), "least", bits_for(ids.count()))
-    keys = work.table(docs.mapInArrow(_grams(width, classes, wanted), "cid long, keys array<long>").join(ids.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "keys")
+    rows = whole.select("cid", "n", "head").mapInArrow(_shared(some, percent), "cid long, n long, gram long").join(seen, "gram", "left_semi")
+    rows = work.table(rows, "shared")
+    for _ in range(2):  # fewer classes leave fewer shared n-grams, and those fewer classes
+        alive = rows.groupBy("cid").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).filter(F.expr(f"k >= 1 + ((n * {percent} + 99) div 100) div 20")).select("cid")
+        kept = rows.join(alive, "cid", "left_semi")
+        counts = kept.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("n0"), F.max("n").alias("n1"))
+        # Two sets of too different sizes are no link.
+        counts = counts.filter(f"m > 2 OR m = 2 AND 100 * n0 >= {percent} * n1").select("gram", "m")
+        fewer = work.table(kept.join(counts, "gram").select("gram", "cid", "n", "m"), "shared")
+        work.drop(rows)
+        rows = fewer.drop("m")
+    rows = fewer.withColumn("comp", F.col("cid"))
+    ids = work.table(whole.join(rows.select("cid").distinct(), "cid", "left_semi").select("cid", "least"), "ids")
+    size = bits_for(ids.count())
+    keys = work.table(docs.mapInArrow(_grams(width, classes, build(ids.select("least"), "least", size), build(ids.select("cid"), "cid", size)), "cid long, keys array<long>"), "keys")
     roots: DataFrame | None = None
     for turn, (share, full) in enumerate(((SAMPLE, False), (1, False), (1, True))):
         part = rows.filter(F.pmod(F.xxhash64("gram"), F.lit(share)) == 0) if share > 1 else rows
@@ -294,8 +373,14 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = WIDTH,
         sign = part.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(3), "cid")).alias("s2"), F.max("m").alias("m"))
         live = sign.filter("c0 <> c1").groupBy("s1", "s2", "m").agg(F.min("gram").alias("gram")).select("gram")
         met = _meetings(part.join(live, "gram"), full, turn)
-        tested = met.join(keys, "cid").select("gram", "i", "j", "side", "comp", "n", "keys").repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
+        own = rows.groupBy("cid").agg(F.collect_list("gram").alias("grams"))
+        near = met.join(own, "cid").select(*met.columns, "grams").repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
+        met = work.table(near.mapInArrow(_promising(percent), met.schema), "met")
+        cids = met.select("cid").distinct()
+        near = keys.mapInArrow(_filtered(build(cids, "cid", size)), "cid long, keys array<long>")
+        tested = met.join(near, "cid").select("gram", "i", "j", "side", "comp", "n", "keys").repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
         found = components(work, work.table(tested.mapInArrow(_tested(percent), "a long, b long"), "links"))
+        work.drop(met)
         up = found.select(F.col("node").alias("comp"), "root")
         rows = work.table(rows.join(up, "comp", "left").select("gram", "cid", "n", "m", F.coalesce("root", "comp").alias("comp")), "rows")
         if roots is None:
