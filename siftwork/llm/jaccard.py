@@ -293,7 +293,7 @@ def _promising(percent: int):
     def each(t: pa.Table, starts: list[int]) -> pa.RecordBatch:
         i, j, side, comp, size = (np.asarray(t.column(c)) for c in ("i", "j", "side", "comp", "n"))
         flat, off = _lists(t, "grams")
-        need = must_share(size)
+        beyond = size - np.array([prefix(int(x), percent) for x in size])  # n-grams after the prefix
         keep = np.zeros(t.num_rows, bool)
         for a, b in zip(starts[:-1], starts[1:], strict=True):
             if i[a] == j[a]:
@@ -305,7 +305,10 @@ def _promising(percent: int):
             small, large = np.minimum(size[x][:, None], size[y]), np.maximum(size[x][:, None], size[y])
             ok = (100 * small >= percent * large) & (comp[x][:, None] != comp[y])
             if ok.any():
-                ok &= overlaps([flat[off[k] : off[k + 1]] for k in x], [flat[off[k] : off[k + 1]] for k in y]) >= np.minimum(need[x][:, None], need[y])
+                # Of an overlap o, all but `beyond` are within a prefix; a link has at least this overlap:
+                least = -(-percent * (size[x][:, None] + size[y]) // (100 + percent))
+                need = least - np.maximum(beyond[x][:, None], beyond[y])
+                ok &= overlaps([flat[off[k] : off[k + 1]] for k in x], [flat[off[k] : off[k + 1]] for k in y]) >= need
                 keep[x] |= ok.any(axis=1)
                 keep[y] |= ok.any(axis=0)
         out = t.select(names).filter(pa.array(keep)).combine_chunks()
