@@ -22,6 +22,9 @@ DEFAULTS = {
     "spark.driver.memory": "8g",
 }
 
+#: Whether shuffle files go when their query ends, not when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _shipped: set[str] = set()
 
 
@@ -82,7 +85,13 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        # What is written needs its shuffles no more; a later use of the same plan would run them again.
+        old = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if old is None else self.spark.conf.set(CLEANUP, old)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._siftwork_path = path
         return out
