@@ -44,6 +44,8 @@ WIDTH, PERCENT = 5, 80
 SKETCH_BITS, SLOTS = 18, 64
 SMALL, BLOCK, BLOCK_GRAMS, CELLS = 16, 64, 400_000, 1 << 22
 SAMPLE = 16
+#: How common an n-gram is in a turn that does not use it.
+LAST = (1 << 31) - 1
 
 
 def _sets(part: pa.RecordBatch, width: int):
@@ -287,12 +289,19 @@ def _tested(percent: int):
 
 
 def _promising(percent: int):
-    """Rows of blocks that have a partner: of another component, of like size, and with enough shared prefix n-grams."""
+    """Rows of blocks that have a partner: of another component, of like size, with enough shared prefix
+    n-grams, and with no n-gram of this turn in common that comes before the block's own.
+
+    n-grams come in the order of (m, gram). A pair meets in the first one that it shares: groups of at most
+    SMALL let all pairs meet, leaders of a group lead in the smaller ones, and the last turn has the rest.
+    """
     names = ["gram", "i", "j", "side", "cid", "comp", "n"]
 
     def each(t: pa.Table, starts: list[int]) -> pa.RecordBatch:
         i, j, side, comp, size = (np.asarray(t.column(c)) for c in ("i", "j", "side", "comp", "n"))
-        flat, off = _lists(t, "grams")
+        gram, flat, off = np.asarray(t.column("gram")), *_lists(t, "grams")
+        common, _ = _lists(t, "common")
+        own = [flat[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
         beyond = size - np.array([prefix(int(x), percent) for x in size])  # n-grams after the prefix
         keep = np.zeros(t.num_rows, bool)
         for a, b in zip(starts[:-1], starts[1:], strict=True):
@@ -308,7 +317,12 @@ def _promising(percent: int):
                 # Of an overlap o, all but `beyond` are within a prefix; a link has at least this overlap:
                 least = -(-percent * (size[x][:, None] + size[y]) // (100 + percent))
                 need = least - np.maximum(beyond[x][:, None], beyond[y])
-                ok &= overlaps([flat[off[k] : off[k + 1]] for k in x], [flat[off[k] : off[k + 1]] for k in y]) >= need
+                ok &= overlaps([own[k] for k in x], [own[k] for k in y]) >= need
+            if ok.any():
+                m = common[off[a] : off[a + 1]][own[a] == gram[a]][0]
+                early = [g[(c < m) | (c == m) & (g < gram[a])] for g, c in ((own[k], common[off[k] : off[k + 1]]) for k in range(a, b))]
+                ok &= overlaps([early[k - a] for k in x], [early[k - a] for k in y]) == 0
+            if ok.any():
                 keep[x] |= ok.any(axis=1)
                 keep[y] |= ok.any(axis=0)
         out = t.select(names).filter(pa.array(keep)).combine_chunks()
@@ -331,7 +345,8 @@ def _meetings(rows: DataFrame, full: bool, turn: int) -> DataFrame:
         most = rows.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("gram").agg(F.max(F.struct("k", "comp")).alias("top"))
         marked = rows.join(most, "gram").withColumn("first", F.col("comp") != F.col("top.comp")).drop("top")
     else:
-        marked = rows.withColumn("first", (F.col("m") <= SMALL) | (F.pmod(F.xxhash64("cid", F.lit(turn)), F.col("m")) < 8))
+        # Leaders of a group lead in every smaller group, too.
+        marked = rows.withColumn("first", (F.col("m") <= SMALL) | (F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(1 << 40)) < F.lit(8.0 * (1 << 40)) / F.col("m")))
     sizes = marked.groupBy("gram").agg(*[F.greatest(F.ceil(F.count(F.when(c, 1)) / BLOCK), F.ceil(F.sum(F.when(c, F.col("n"))) / BLOCK_GRAMS), F.lit(0)).cast("int").alias(k) for k, c in (("na", F.col("first")), ("nb", ~F.col("first")))])
     cut = marked.join(sizes, "gram").withColumn("own", F.pmod(F.xxhash64("cid", F.lit(turn + 100)), F.greatest(F.when(F.col("first"), F.col("na")).otherwise(F.col("nb")), F.lit(1))).cast("int"))
     # Pairs (i, j): i = j for blocks of side 0 alone, i < j for two of them, j = -1 - block for one of side 1.
@@ -376,8 +391,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = WIDTH,
         sign = part.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(3), "cid")).alias("s2"), F.max("m").alias("m"))
         live = sign.filter("c0 <> c1").groupBy("s1", "s2", "m").agg(F.min("gram").alias("gram")).select("gram")
         met = _meetings(part.join(live, "gram"), full, turn)
-        own = rows.groupBy("cid").agg(F.collect_list("gram").alias("grams"))
-        near = met.join(own, "cid").select(*met.columns, "grams").repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
+        turned = F.when(F.pmod(F.xxhash64("gram"), F.lit(share)) == 0, F.least("m", F.lit(LAST - 1))).otherwise(LAST).cast("int")
+        own = rows.groupBy("cid").agg(F.collect_list(F.struct("gram", turned.alias("common"))).alias("all"))
+        near = met.join(own, "cid").select(*met.columns, F.col("all.gram").alias("grams"), F.col("all.common").alias("common")).repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
         met = work.table(near.mapInArrow(_promising(percent), met.schema), "met")
         cids = met.select("cid").distinct()
         near = keys.mapInArrow(_filtered(build(cids, "cid", size)), "cid long, keys array<long>")
