@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .arrow import mix
 
 PROBES, BLOCK = 8, 512
+#: Keys whose bits are placed at once.
+STEP = 16_384
 #: The largest filter, in bits (16 MiB). Beyond it the rate of false hits grows, which an exact join removes.
 MAX_BITS = 1 << 27
 
@@ -36,16 +38,17 @@ def empty(bits: int) -> np.ndarray:
 
 
 def add(words: np.ndarray, h: np.ndarray) -> None:
-    if len(h):
-        at = _places(h, len(words) * 8).ravel()
+    for low in range(0, len(h), STEP):
+        at = _places(h[low : low + STEP], len(words) * 8).ravel()
         np.bitwise_or.at(words, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
 
 def may_hold(words: np.ndarray, h: np.ndarray) -> np.ndarray:
-    if not len(h):
-        return np.zeros(0, bool)
-    at = _places(h, len(words) * 8)
-    return ((words[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1)).astype(bool).all(axis=1)
+    out = np.zeros(len(h), bool)
+    for low in range(0, len(h), STEP):
+        at = _places(h[low : low + STEP], len(words) * 8)
+        out[low : low + STEP] = ((words[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1)).astype(bool).all(axis=1)
+    return out
 
 
 def build(keys: DataFrame, column: str, bits: int, tasks: int = 32) -> bytes:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch, read, ship
-from .arrow import mix, sliced, texts
+from .arrow import mix, sliced, small_batches, texts
 from .bloom import bits_for, build, load, may_hold
 from .components import components
 from .words import hashes, shingles, spans
@@ -44,6 +44,8 @@ WIDTH, PERCENT = 5, 80
 SKETCH_BITS, SLOTS = 18, 64
 SMALL, BLOCK, BLOCK_GRAMS, CELLS = 16, 64, 400_000, 1 << 22
 SAMPLE = 16
+#: Bytes of text whose words are hashed at once; a worker holds some 100 bytes for each.
+SLICE = 512 << 10
 #: How common an n-gram is in a turn that does not use it.
 LAST = (1 << 31) - 1
 
@@ -63,7 +65,7 @@ def _sketch(width: int):
     def run(batches):
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
-            for part in sliced(b, "text", 2 << 20):
+            for part in sliced(b, "text", SLICE):
                 every = [x for x in _sets(part, width) if len(x)]
                 if every:
                     total += np.bincount((np.concatenate(every) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
@@ -115,7 +117,7 @@ def _prefixes(width: int, percent: int, packed: bytes):
 
     def run(batches):
         for b in batches:
-            for part in sliced(b, "text", 2 << 20):
+            for part in sliced(b, "text", SLICE):
                 sizes, ids, more, heads = [], [], [], []
                 for x in _sets(part, width):
                     one, two = _digest(x)
@@ -143,7 +145,7 @@ def _grams(width: int, packed: bytes, wanted: bytes, kinds: bytes):
             col = b.column("doc_id")
             hit = may_hold(words, np.asarray(col.fill_null(0)).astype(np.int64)) | np.asarray(col.is_null())
             b = b.filter(pa.array(hit))
-            for part in sliced(b, "text", 2 << 20):
+            for part in sliced(b, "text", SLICE):
                 every = [(_digest(x)[0], x) for x in _sets(part, width) if len(x)]
                 held = may_hold(known, np.array([c for c, _ in every], np.int64))
                 every = [(c, _ordered(x, classes)) for (c, x), ok in zip(every, held, strict=True) if ok]
@@ -360,6 +362,7 @@ def _meetings(rows: DataFrame, full: bool, turn: int) -> DataFrame:
 def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: links are 100 * intersection >= percent * union."""
     ship(spark)
+    small_batches(spark)
     work = Scratch(spark, "jaccard")
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     classes = gram_classes(docs, width)
