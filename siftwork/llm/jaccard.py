@@ -31,7 +31,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch, read, ship
@@ -126,8 +126,9 @@ def _prefixes(width: int, percent: int, packed: bytes):
                     more.append(two)
                     heads.append(_ordered(x, classes)[: prefix(len(x), percent)])
                 off = np.concatenate([[0], np.cumsum([len(h) for h in heads])])
+                marks = [c for c in part.schema.names if c == "mark"]
                 arrays = [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(more, pa.int64()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate([*heads, np.empty(0, np.int64)]), pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "cid", "check", "head"])
+                yield pa.RecordBatch.from_arrays([*arrays, *(part.column(c) for c in marks)], ["doc_id", "n", "cid", "check", "head", *marks])
 
     return run
 
@@ -359,15 +360,22 @@ def _meetings(rows: DataFrame, full: bool, turn: int) -> DataFrame:
     return cut.select("gram", "cid", "comp", "n", F.explode(met).alias("x")).select("gram", "x.i", "x.j", "x.side", "cid", "comp", "n")
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row: links are 100 * intersection >= percent * union."""
+def _linked(spark: SparkSession, docs: DataFrame, width: int, percent: int, mark: Column | None = None) -> tuple[Scratch, DataFrame, DataFrame]:
+    """The scratch storage; rows (doc_id, n, cid, ...); classes with the `root` of their component.
+
+    With a `mark`, which tells apart rows of one doc_id, rows have it too, and classes have their `first`
+    row: the smallest doc_id (null last), then the smallest mark.
+    """
     ship(spark)
     small_batches(spark)
     work = Scratch(spark, "jaccard")
+    marks = [] if mark is None else [mark.alias("mark")]
+    first = [F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("first") for _ in marks]
+    marked = docs.select("doc_id", F.col("text").cast("string").alias("text"), *marks)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     classes = gram_classes(docs, width)
-    sets = work.table(docs.mapInArrow(_prefixes(width, percent, classes), "doc_id long, n long, cid long, check long, head array<long>"), "sets")
-    whole = work.table(sets.filter("n > 0").groupBy("cid", "check", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("head").alias("head")), "classes")
+    sets = work.table(marked.mapInArrow(_prefixes(width, percent, classes), "doc_id long, n long, cid long, check long, head array<long>" + (", mark string" if marks else "")), "sets")
+    whole = work.table(sets.filter("n > 0").groupBy("cid", "check", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("head").alias("head"), *first), "classes")
     seen = work.table(whole.select(F.explode("head").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("gram"), "grams")
     some = build(seen.select("gram"), "gram", bits_for(seen.count()))
     rows = whole.select("cid", "n", "head").mapInArrow(_shared(some, percent), "cid long, n long, gram long").join(seen, "gram", "left_semi")
@@ -410,18 +418,42 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = WIDTH,
         else:
             old = roots.withColumnRenamed("root", "comp").join(up, "comp", "left").select("node", F.coalesce("root", "comp").alias("root"))
             roots = work.table(old.unionByName(found.join(roots.select("node"), "node", "left_anti")), "roots")
-    linked = whole.join(roots, whole["cid"] == roots["node"], "left").select("cid", "least", "copies", F.coalesce("root", "cid").alias("root"), F.col("root").isNotNull().alias("far"))
+    linked = whole.join(roots, whole["cid"] == roots["node"], "left").select("cid", "least", "copies", F.coalesce("root", "cid").alias("root"), F.col("root").isNotNull().alias("far"), *(["first"] if marks else []))
+    return work, sets, linked
+
+
+def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row: links are 100 * intersection >= percent * union."""
+    work, sets, linked = _linked(spark, docs, width, percent)
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     names = work.table(linked.filter("far OR copies > 1").join(named, "root").select("cid", "component_id", F.lit(True).alias("found")), "names")
     out = sets.select("doc_id", "n", "cid").join(names, "cid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def one_of_each(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """docs without those that have a smaller doc_id in their component; all columns stay."""
-    found = jaccard_components(spark, docs, **options)
-    gone = found.filter("component_id IS NOT NULL AND NOT (component_id <=> doc_id)").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+def one_of_each(spark: SparkSession, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One row of each component: the smallest doc_id (null last), then the smallest hash of a text; all columns stay.
+
+    Rows are told apart by (doc_id, hash), so ids may be null or repeated; of rows equal in both any one stays.
+    """
+    sha = F.sha2(F.col("text").cast("string").cast("binary"), 256)
+    work, sets, linked = _linked(spark, docs, width, percent, sha)
+    firsts = linked.groupBy("root").agg(F.min("first").alias("first"))
+    named = linked.filter("far OR copies > 1").select("cid", "root").join(firsts, "root").select("cid", "first")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
+    members = sets.filter("n > 0").select("doc_id", "cid", "mark").join(named, "cid").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), stays.alias("stays"))
+    # A component's rows that stay are equal in (doc_id, hash); `copies` tells whether there are several.
+    counted = work.table(members.groupBy("_id", "_mark", "stays").agg(F.count(F.lit(1)).alias("copies")), "members")
+    marked = docs.withColumn("_sha", sha)
+
+    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        return left.join(right, left["doc_id"].eqNullSafe(right["_id"]) & (left["_sha"] == right["_mark"]), how)
+
+    kept = joined(marked, counted.filter("NOT stays").select("_id", "_mark"), "left_anti")
+    several = counted.filter("stays AND copies > 1").select("_id", "_mark")
+    if several.limit(1).count():
+        kept = joined(kept, several, "left_anti").unionByName(joined(kept, several, "left_semi").dropDuplicates(["doc_id", "_sha"]))
+    return kept.drop("_sha")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
