@@ -1,7 +1,8 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
-Each partition packs its documents best-fit decreasing, in windows of bounded size, and closes nearly
-full bins. Its underfull bins (the emptiest KEEP_OPEN at most; the others close too) go up a tree as
+The pieces of documents (a few numbers each, no text) are written once and dealt by a hash over few
+partitions of a full window or more, so that each sees all lengths however the files lie. Each partition
+packs its pieces best-fit decreasing, in windows of bounded size, and closes nearly full bins. Its underfull bins (the emptiest KEEP_OPEN at most; the others close too) go up a tree as
 items: a node packs the open bins of FAN_IN nodes below, and so on to the root. A node gets at most
 FAN_IN * KEEP_OPEN bins whatever the size of the input, and the number of levels is logarithmic.
 
@@ -9,6 +10,7 @@ Defined cases:
 - null or empty text: the document is its end token alone.
 - only documents longer than a sequence are cut: into whole sequences, after a shorter first piece.
 - repeated rows and null doc_ids are packed like any others; an empty table gives an empty result.
+- pieces of equal rows have one hash and so one partition, which takes them window by window.
 - a text that holds the string of a special token is encoded as the tokenizers library does by default.
 """
 
@@ -31,6 +33,8 @@ CAPACITY, END = 2048, 0
 FAN_IN, KEEP_OPEN, WINDOW, SLACK = 8, 24, 1 << 16, 8
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, node long, sequence_id long, offset long, open boolean"
+NAMES = ["doc_id", "piece", "start", "length", "ids_crc32", "node", "sequence_id", "offset", "open"]
+KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
 
 
 def best_fit(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
@@ -77,9 +81,7 @@ def _placed(items: list[list[tuple]], level: int, node: int, count: int, capacit
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "node", "sequence_id", "offset", "open"]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(KINDS)], NAMES)
 
 
 def pieces(ids: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -122,22 +124,34 @@ def _tokenizer(vocabulary: str, pattern: str) -> Tokenizer:
     return _tokenizers[key]
 
 
-def _local(vocabulary: str, pattern: str, capacity: int):
+def _pieces(vocabulary: str, pattern: str, capacity: int):
     def run(batches):
         tokens = _tokenizer(vocabulary, pattern)
-        node, count, window = TaskContext.get().partitionId(), 0, []
         for b in batches:
             for part in sliced(b, "text", 2 << 20):
+                rows = []
                 for doc, ids in zip(part.column("doc_id").to_pylist(), tokens.ids([x or "" for x in part.column("text").to_pylist()]), strict=True):
                     ids = np.append(ids, END).astype("<u4")
                     for k, (x, y) in enumerate(pieces(ids, capacity)):
-                        window.append([(doc, k, x, y - x, zlib.crc32(ids[x:y].tobytes()))])
-                if len(window) >= WINDOW:
-                    rows, count = _placed(window, 0, node, count, capacity, False)
-                    window = []
-                    yield _batch(rows)
-        if window:
-            rows, count = _placed(window, 0, node, count, capacity, False)
+                        rows.append((doc, k, x, y - x, zlib.crc32(ids[x:y].tobytes())))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(KINDS[:5])], NAMES[:5])
+
+    return run
+
+
+def _local(capacity: int):
+    """Packs windows of WINDOW pieces; the last one has what is left, up to twice as many."""
+
+    def run(batches):
+        node, count, waiting = TaskContext.get().partitionId(), 0, []
+        for b in batches:
+            waiting += [[r] for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            while len(waiting) >= 2 * WINDOW:
+                rows, count = _placed(waiting[:WINDOW], 0, node, count, capacity, False)
+                waiting = waiting[WINDOW:]
+                yield _batch(rows)
+        if waiting:
+            rows, count = _placed(waiting, 0, node, count, capacity, False)
             yield _batch(rows)
 
     return run
@@ -160,7 +174,11 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, pattern: str, ca
     """A row for each piece: PIECES, sequence_id and offset. `vocabulary` is the text of a tokenizer file."""
     ship(spark)
     work = Scratch(spark, "packing")
-    level = work.table(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_local(vocabulary, pattern, capacity), PACKED), "level")
+    cut = work.table(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_pieces(vocabulary, pattern, capacity), PIECES), "pieces")
+    # The order within a partition comes from a hash, too, so that windows do not depend on where rows lay.
+    dealt = cut.repartition(max(1, cut.count() // WINDOW), *cut.columns).sortWithinPartitions(F.xxhash64(*cut.columns), *cut.columns)
+    level = work.table(dealt.mapInArrow(_local(capacity), PACKED), "level")
+    work.drop(cut)
     tables, depth = [level], 0
     while True:
         waiting = level.filter("open")
