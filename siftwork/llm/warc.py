@@ -6,8 +6,11 @@ each (URL, time bucket) is aggregated, carried over buckets, and only captures w
 sorted together. Bodies and headers join by record id afterwards. The revisit's validators are
 checked against the response's, and headers that a 304 may update are merged into the response's.
 
+A full response has a status of FULL: a 206 is a part, a 304 has no body, and errors and redirects
+are not what a client kept, so none of them hides an earlier full response.
+
 Outcomes: matched (equal ETag, or without ETags on both sides equal Last-Modified), mismatch,
-unverified (no validator on both sides), orphan (no earlier response).
+unverified (no validator on both sides), orphan (no earlier full response).
 
 Defined cases:
 - "earlier" is a smaller timestamp; of responses with one timestamp the largest record id counts.
@@ -29,6 +32,8 @@ from ..session import Scratch, read, ship
 
 #: Headers that a 304 response may update (fixed values).
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
+#: Statuses of responses that hold the whole representation.
+FULL = [200, 203]
 BUCKET = 3600
 CAPTURE = "record_id string, kind string, url string, ts long, status int, headers map<string,string>, body binary"
 
@@ -99,8 +104,8 @@ def resolve_revisits(spark: SparkSession, captures: DataFrame, bucket: int = BUC
     """For each revisit: (record_id, url, ts, outcome, response_id, status, headers, body)."""
     work = Scratch(spark, "warc")
     rows = work.table(captures.withColumn("curl", canonical(F.col("url"))), "captures")
-    slim = rows.select("curl", "ts", "kind", "record_id", F.expr(f"ts div {bucket}").alias("bucket"), F.col("headers")["etag"].alias("etag"), F.col("headers")["last-modified"].alias("modified"))
-    full = F.when((F.col("kind") == "response") & F.col("ts").isNotNull(), F.struct("ts", "record_id", "etag", "modified"))
+    slim = rows.select("curl", "ts", "kind", "record_id", F.expr(f"ts div {bucket}").alias("bucket"), "status", F.col("headers")["etag"].alias("etag"), F.col("headers")["last-modified"].alias("modified"))
+    full = F.when((F.col("kind") == "response") & F.col("status").isin(FULL) & F.col("ts").isNotNull(), F.struct("ts", "record_id", "etag", "modified"))
     last = slim.groupBy("curl", "bucket").agg(F.max(full).alias("last"))
     before = Window.partitionBy("curl").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select(F.col("curl").alias("_c"), F.col("bucket").alias("_b"), F.last("last", ignorenulls=True).over(before).alias("carry"))
@@ -113,7 +118,7 @@ def resolve_revisits(spark: SparkSession, captures: DataFrame, bucket: int = BUC
     same = F.when(tags, strong(F.col("etag")) == strong(F.col("of.etag"))).when(dates, F.col("modified") == F.col("of.modified"))
     outcome = F.when(F.col("of").isNull(), "orphan").when(same.isNull(), "unverified").when(same, "matched").otherwise("mismatch")
     judged = found.select("record_id", "curl", "ts", outcome.alias("outcome"), F.col("of.record_id").alias("response_id"))
-    bodies = rows.filter("kind = 'response'").dropDuplicates(["record_id"]).select(F.col("record_id").alias("response_id"), F.col("status").alias("r_status"), F.col("headers").alias("r_headers"), "body")
+    bodies = rows.filter((F.col("kind") == "response") & F.col("status").isin(FULL)).dropDuplicates(["record_id"]).select(F.col("record_id").alias("response_id"), F.col("status").alias("r_status"), F.col("headers").alias("r_headers"), "body")
     own = rows.filter("kind = 'revisit'").select("record_id", F.col("headers").alias("new")).dropDuplicates(["record_id"])
     joined = judged.join(own, "record_id", "left").join(bodies, "response_id", "left")
     listed = ", ".join(f"'{h}'" for h in PERMITTED)
