@@ -6,15 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
-
-#: Bytes of rows that Spark puts into one batch, besides its limit of rows.
-BATCH = 4 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Lets a batch hold at most BATCH bytes, or one row."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
 
 
 def sliced(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -51,12 +51,13 @@ def may_hold(words: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def build(keys: DataFrame, column: str, bits: int, tasks: int = 32) -> bytes:
+def build(keys: DataFrame, column: str, bits: int) -> bytes:
     """The filter over a long column of key hashes, compressed.
 
-    Each of `tasks` tasks fills a filter of the fixed size; slots of it are joined by key, so
-    neither a task nor the driver gets more than the fixed size for each input task.
+    Each task (4 to 128 of them, by size) fills a filter of the fixed size; slots of it are joined by
+    key, so neither a task nor the driver gets more than the fixed size for each input task.
     """
+    tasks = max(4, bits >> 20)
     slots = min(64, max(1, bits // 8 // 4096))
 
     def fill(batches):

@@ -1,363 +1,294 @@
 """N-gram Jaccard join by vertical partitioning, returned as components of linked documents.
 
-1. Every text's shingles are counted into a sketch of fixed size, which gives one global order of
-   n-grams for all documents: rarer ones (by sketch class) first, then by hash.
-2. Documents with equal sets are one class. The first n - ceil(t * n) + l(n) n-grams of a class in
-   the global order are its prefix, l(n) = 1 + n // 20: two classes with similarity t or more share
-   min(l) of them, so a class with fewer shared ones than l(ceil(t * n)) has no link and goes.
-3. Classes that share a prefix n-gram meet in groups, which are cut into blocks. Rows that share too
-   few prefix n-grams with any other in their block go; to the rest their whole sets are joined, and
-   these are cut vertically into fragments of the global order; overlaps are counted in each fragment
-   separately, as a product of small matrices, and summed for each pair.
-4. A block returns a spanning forest of its links, not all pairs, and skips pairs that are already
-   in one component. First a sample of the n-grams, then all of them, let leaders of each group
-   meet its members; then, in groups above SMALL, every member outside the group's largest
-   component meets all others. So every pair of different components that shares a prefix n-gram
-   is tested, no link between components is lost, and large groups of near copies cost linear work.
-
-Hashes of n-grams have 56 bits next to their class, ids of classes 64 bits.
+1. The global n-gram order is cut into fragments (fragments.py). Every set is shown as hashes of its segments;
+   two sets that link share enough equal segments, `need` of them at least.
+2. Segments are counted over all documents. Of a set's segments, the need - 1 most common ones are left out
+   (of those that a pair shares, its rarest stays in both), and sets with fewer shared ones than `need` go.
+   So a passage that many documents hold makes no group by itself.
+3. Sets with an equal segment form a group, of one row a set. First each set meets one hub, the most central
+   set of its groups (with the most and most common shared segments): stars, not all pairs, so that large groups
+   of near copies cost linear work. Then hubs of each group that still has two components meet all its
+   members and leave it, until no such group is left: every pair of sets of different components that
+   shares a segment has met. These meetings compare small parity maps of the sets within a task (hubs go to
+   each salt of a large group) and give out only pairs that may link, few of which do not.
+4. Pairs are tested by vertical partitioning: rows (fragment, hub, set, segment) are dealt by fragment and
+   hub (large stars by salts, too), a task counts the partial overlaps within a fragment, and these
+   are summed for each pair.
+
+Hashes of n-grams and ids of classes (documents with equal sets) have 64 bits.
 
 Defined cases:
 - null, empty and blank texts have empty sets, link with nothing and are their own component.
 - with fewer words than the width the whole sequence is the one shingle.
 - repeated rows are copies, and so linked. Null doc_ids never name a component while it has another
   id; a component of null ids alone has a null id.
+- texts of any length are read whole, in stretches of bounded size.
 - an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Scratch, read, ship
-from .arrow import mix, sliced, small_batches, texts
+from .arrow import mix, sliced, texts
 from .bloom import bits_for, build, load, may_hold
 from .components import components
-from .words import hashes, shingles, spans
+from .fragments import Parts, cuts, differ, map_bits, parity, partial, ranges
+from .words import SLICE, sets
 
 WIDTH, PERCENT = 5, 80
-SKETCH_BITS, SLOTS = 18, 64
-SMALL, BLOCK, BLOCK_GRAMS, CELLS = 16, 64, 400_000, 1 << 22
-SAMPLE = 16
-#: Bytes of text whose words are hashed at once; a worker holds some 100 bytes for each.
-SLICE = 512 << 10
-#: How common an n-gram is in a turn that does not use it.
-LAST = (1 << 31) - 1
-
-
-def _sets(part: pa.RecordBatch, width: int):
-    """The distinct shingle hashes of each text."""
-    data, off = texts(part.column("text"))
-    s, e, doc = spans(data, off)
-    x, d = shingles(hashes(data, s, e), doc, part.num_rows, width)
-    at = np.searchsorted(d, np.arange(part.num_rows + 1)).tolist()
-    for a, b in zip(at[:-1], at[1:], strict=True):
-        own = np.sort(x[a:b])
-        yield own[np.append(True, own[1:] != own[:-1])] if len(own) else own
-
-
-def _sketch(width: int):
-    def run(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for b in batches:
-            for part in sliced(b, "text", SLICE):
-                every = [x for x in _sets(part, width) if len(x)]
-                if every:
-                    total += np.bincount((np.concatenate(every) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        for i, x in enumerate(np.split(total, SLOTS)):
-            if x.any():
-                yield pa.RecordBatch.from_pydict({"slot": pa.array([i], pa.int32()), "part": [zlib.compress(x.tobytes(), 1)]})
-
-    return run
-
+#: n-grams of a segment (on average, at most) in the count of overlaps; members of a star that one task counts.
+SEGMENT, STAR = 128, 512
+#: Hubs of a group in rounds after the first one.
+HUBS = (4, 1024)
 
-def _added(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in table.column("part").to_pylist())
-    return pa.table({"slot": table.column("slot")[:1], "part": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
-
-
-def gram_classes(docs: DataFrame, width: int) -> bytes:
-    """A class from 0 to 255 for each cell of the sketch, by the number of documents counted in it."""
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
-    each = len(total) // SLOTS
-    parts = docs.mapInArrow(_sketch(width), "slot int, part binary").groupBy("slot").applyInArrow(_added, "slot int, part binary")
-    for r in parts.collect():
-        total[r.slot * each : (r.slot + 1) * each] = np.frombuffer(zlib.decompress(r.part), np.int64)
-    return np.minimum(255, np.log2(total + 1) * 6).astype(np.uint8).tobytes()
-
-
-def _ordered(x: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """n-grams in the global order, as whole numbers that sort by it (signed, for Spark)."""
-    cell = (x >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-    keys = np.sort((classes[cell].astype(np.uint64) << np.uint64(56)) | (x >> np.uint64(8)))
-    return (keys ^ np.uint64(1 << 63)).view(np.int64)
+SETS = "doc_id long, n long, cid long, check long, parts array<struct<own: boolean, need: int, sigs: array<long>>>"
+_PART = pa.struct([("own", pa.bool_()), ("need", pa.int32()), ("sigs", pa.list_(pa.int64()))])
 
 
 def _digest(x: np.ndarray) -> tuple[int, int]:
     return int(mix(x).sum(dtype=np.uint64).view(np.int64)), int(mix(x ^ np.uint64(0x5DEECE66D1234567)).sum(dtype=np.uint64).view(np.int64))
 
 
-def must_share(n: int) -> int:
-    """n-grams that two prefixes have in common if the sets are similar, for sets of n or more."""
-    return 1 + n // 20
+def _offsets(sizes: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
 
 
-def prefix(n: int, percent: int) -> int:
-    """Length of the prefix: with overlap o, first parts of n - o + l share l, and o >= ceil(t * n)."""
-    return min(n, n + (-percent * n // 100) + must_share(n))
-
-
-def _prefixes(width: int, percent: int, packed: bytes):
-    classes = np.frombuffer(packed, np.uint8)
+def _shown(width: int, percent: int):
+    """Each document's class and the segments that it shows."""
 
     def run(batches):
         for b in batches:
             for part in sliced(b, "text", SLICE):
-                sizes, ids, more, heads = [], [], [], []
-                for x in _sets(part, width):
-                    one, two = _digest(x)
-                    sizes.append(len(x))
-                    ids.append(one)
-                    more.append(two)
-                    heads.append(_ordered(x, classes)[: prefix(len(x), percent)])
-                off = np.concatenate([[0], np.cumsum([len(h) for h in heads])])
+                every = list(sets(part, width))
+                ids = [_digest(x) for x in every]
+                p = Parts(every, percent)
+                sigs = pa.ListArray.from_arrays(_offsets(p.size), pa.array(p.sigs))
+                parts = pa.StructArray.from_arrays([pa.array(p.own), pa.array(p.need, pa.int32()), sigs], fields=list(_PART))
+                column = pa.ListArray.from_arrays(_offsets(np.bincount(p.doc, minlength=len(every))), parts)
                 marks = [c for c in part.schema.names if c == "mark"]
-                arrays = [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(more, pa.int64()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate([*heads, np.empty(0, np.int64)]), pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*arrays, *(part.column(c) for c in marks)], ["doc_id", "n", "cid", "check", "head", *marks])
+                arrays = [part.column("doc_id"), pa.array([len(x) for x in every], pa.int64()), pa.array([x for x, _ in ids], pa.int64()), pa.array([x for _, x in ids], pa.int64()), column]
+                yield pa.RecordBatch.from_arrays([*arrays, *(part.column(c) for c in marks)], ["doc_id", "n", "cid", "check", "parts", *marks])
 
     return run
 
 
-def _grams(width: int, packed: bytes, wanted: bytes, kinds: bytes):
-    """The whole ordered set of documents whose doc_id (or null) and class the filters hold.
-
-    A few others pass too; they join nothing later, or meet their own class, which links nothing.
-    """
-    classes = np.frombuffer(packed, np.uint8)
+def _repeated(packed: bytes):
+    """Rows (sig, cid, n, part, own, need) of signatures that the filter holds."""
 
     def run(batches):
-        words, known = load(wanted), load(kinds)
+        words = load(packed)
         for b in batches:
-            col = b.column("doc_id")
-            hit = may_hold(words, np.asarray(col.fill_null(0)).astype(np.int64)) | np.asarray(col.is_null())
-            b = b.filter(pa.array(hit))
-            for part in sliced(b, "text", SLICE):
-                every = [(_digest(x)[0], x) for x in _sets(part, width) if len(x)]
-                held = may_hold(known, np.array([c for c, _ in every], np.int64))
-                every = [(c, _ordered(x, classes)) for (c, x), ok in zip(every, held, strict=True) if ok]
-                if every:
-                    off = np.concatenate([[0], np.cumsum([len(k) for _, k in every])])
-                    keys = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate([k for _, k in every]), pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in every], pa.int64()), keys], ["cid", "keys"])
+            parts = b.column("parts")
+            fields = parts.flatten()
+            sigs = fields.field("sigs")
+            flat = np.asarray(sigs.flatten())
+            hit = np.flatnonzero(may_hold(words, flat))
+            sizes, counts = np.diff(np.asarray(sigs.offsets)), np.diff(np.asarray(parts.offsets))
+            part = np.repeat(np.arange(len(sizes)), sizes)[hit]
+            row = np.repeat(np.arange(b.num_rows), counts)
+            number = ranges(np.zeros(len(counts), np.int64), counts)
+            of = pa.array(row[part])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flat[hit]), b.column("cid").take(of), b.column("n").take(of), pa.array(number[part], pa.int32()), fields.field("own").take(pa.array(part)), fields.field("need").take(pa.array(part))],
+                ["sig", "cid", "n", "part", "own", "need"],
+            )
 
     return run
 
 
-def _shared(packed: bytes, percent: int):
-    """Prefix n-grams that the filter holds, one row each, of classes with as many as a link needs."""
+def _grams(width: int, wanted: bytes, kinds: bytes):
+    """The whole sets of documents whose doc_id (or null) and class the filters hold; a few others pass too."""
 
     def run(batches):
-        words = load(packed)
+        words, known = load(wanted), load(kinds)
         for b in batches:
-            head = b.column("head")
-            flat = np.asarray(head.flatten())
-            hit = np.flatnonzero(may_hold(words, flat))
-            row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(head.offsets)))[hit]
-            enough = np.bincount(row, minlength=b.num_rows) >= _least(np.asarray(b.column("n")), percent)
-            hit, row = hit[enough[row]], row[enough[row]]
-            yield pa.RecordBatch.from_arrays([b.column("cid").take(pa.array(row)), b.column("n").take(pa.array(row)), pa.array(flat[hit])], ["cid", "n", "gram"])
+            col = b.column("doc_id")
+            hit = may_hold(words, np.asarray(col.fill_null(0)).astype(np.int64)) | np.asarray(col.is_null())
+            for part in sliced(b.filter(pa.array(hit)), "text", SLICE):
+                every = [(_digest(x)[0], x) for x in sets(part, width) if len(x)]
+                held = may_hold(known, np.array([c for c, _ in every], np.int64))
+                every = [x for x, ok in zip(every, held, strict=True) if ok]
+                if every:
+                    keys = pa.ListArray.from_arrays(_offsets(np.array([len(x) for _, x in every])), pa.array(np.concatenate([x for _, x in every]).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in every], pa.int64()), keys], ["cid", "keys"])
 
     return run
 
 
-def _least(n: np.ndarray, percent: int) -> np.ndarray:
-    """Shared prefix n-grams that a set of n has at least if it has a link: its partner has t * n or more."""
-    return must_share((n * percent + 99) // 100)
+def _cut(batches):
+    """Segments of the sets of a star, cut by the size of its hub: (fragment, hub, salt, side, cid, segment)."""
+    for b in batches:
+        keys = b.column("keys")
+        off, flat = np.asarray(keys.offsets), np.asarray(keys.flatten()).view(np.uint64)
+        off = off - off[0]
+        rows, fragments, segments = [], [], []
+        for i, size in enumerate(b.column("hub_n").to_pylist()):
+            x, bits = flat[off[i] : off[i + 1]], cuts(size, SEGMENT)
+            # np.uint64 shifts by 64 are undefined, so one fragment is cut apart.
+            at = (x >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64)
+            found, first = np.unique(at, return_index=True)
+            rows.append(np.full(len(found), i))
+            fragments.append(found)
+            segments.append(np.diff(np.append(first, len(x))))
+        if rows:
+            of = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(fragments), pa.int64()), *(b.column(c).take(of) for c in ("hub", "salt", "side", "cid")), pa.ListArray.from_arrays(_offsets(np.concatenate(segments)), pa.array(flat.view(np.int64)))],
+                ["fragment", "hub", "salt", "side", "cid", "segment"],
+            )
+
+
+def _counted(batches):
+    """Partial overlaps (hub, cid, partial) of rows sorted by (fragment, hub, salt, side): the hub's row comes first."""
+    names = ("fragment", "hub", "salt")
+    key, segment = None, np.empty(0, np.uint64)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [np.asarray(b.column(c)) for c in names]
+        starts = np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0)))
+        lists = b.column("segment")
+        off, flat = np.asarray(lists.offsets), np.asarray(lists.flatten()).view(np.uint64)
+        off = off - off[0]
+        side = np.asarray(b.column("side"))
+        out = np.zeros(b.num_rows, np.int64)
+        for a, e in zip(starts.tolist(), [*starts[1:].tolist(), b.num_rows], strict=True):
+            here = tuple(int(c[a]) for c in columns)
+            if here != key:
+                key, segment = here, np.empty(0, np.uint64)
+            if side[a] == 0:
+                segment = flat[off[a] : off[a + 1]].copy()
+                a += 1
+            if a < e and len(segment):
+                out[a:e] = partial(segment, flat[off[a] : off[e]], np.diff(off[a : e + 1]))
+        some = pa.array(np.flatnonzero(out))
+        yield pa.RecordBatch.from_arrays([b.column("hub").take(some), b.column("cid").take(some), pa.array(out[out > 0])], ["hub", "cid", "partial"])
+
+
+def _links(pairs: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components, from pairs (hub, cid, hub_n, n, hub_comp, comp)."""
+    stars = pairs.groupBy("hub", "hub_n").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("salts"))
+    members = pairs.join(stars.select("hub", "salts"), "hub").select("hub", "hub_n", F.pmod(F.xxhash64("cid"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("side"), "cid")
+    hubs = stars.select("hub", "hub_n", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"), F.col("hub").alias("cid"))
+    cut = members.unionByName(hubs).join(keys, "cid").select("hub", "hub_n", "salt", "side", "cid", "keys").mapInArrow(_cut, "fragment long, hub long, salt int, side int, cid long, segment array<long>")
+    order = ("fragment", "hub", "salt")
+    counted = cut.repartition(*order).sortWithinPartitions(*order, "side").mapInArrow(_counted, "hub long, cid long, partial long")
+    overlaps = counted.groupBy("hub", "cid").agg(F.sum("partial").alias("o"))
+    return pairs.join(overlaps, ["hub", "cid"]).filter(f"100 * o >= {percent} * (hub_n + n - o)").select(F.col("hub_comp").alias("a"), F.col("comp").alias("b"))
+
+
+def _maps(percent: int):
+    """Parity maps (cid, own, map) of sets, for pairs of their own band's scheme and of the next one."""
 
-
-def _filtered(packed: bytes):
     def run(batches):
-        words = load(packed)
         for b in batches:
-            yield b.filter(pa.array(may_hold(words, np.asarray(b.column("cid")).astype(np.int64))))
+            keys, n = b.column("keys"), []
+            off, flat = np.asarray(keys.offsets), np.asarray(keys.flatten()).view(np.uint64)
+            off = off - off[0]
+            n = np.diff(off)
+            for own in (True, False):
+                bits = map_bits(percent, n, np.full(len(n), own))
+                maps = [parity(flat[x:y], k) for x, y, k in zip(off[:-1].tolist(), off[1:].tolist(), bits.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array([own] * len(n), pa.bool_()), pa.array(maps, pa.binary())], ["cid", "own", "map"])
 
     return run
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray], cells: int = CELLS) -> np.ndarray:
-    """Overlap of each pair of sets: partial overlaps of each fragment of the order, summed."""
-    out = np.zeros((len(left), len(right)), np.float64)
-    sizes = np.array([len(x) for x in left + right])
-    grams, at = np.unique(np.concatenate(left + right), return_inverse=True)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    step = max(256, cells // len(sizes))
-    order = np.argsort(at, kind="stable") if len(grams) > step else None
-    for low in range(0, len(grams), step):  # a fragment
-        if order is None:
-            r, c = row, at
-        else:
-            a, b = np.searchsorted(at, [low, low + step], sorter=order)
-            r, c = row[order[a:b]], at[order[a:b]] - low
-        m = np.zeros((len(sizes), min(step, len(grams) - low)), np.float32)
-        m[r, c] = 1
-        out += m[: len(left)] @ m[len(left) :].T
-    return out
-
-
-def _links(side: np.ndarray, comp: np.ndarray, size: np.ndarray, keys: list[np.ndarray], within: bool, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of links between components: of side 0 with side 1, or of all rows `within`."""
-    a = np.arange(len(side)) if within else np.flatnonzero(side == 0)
-    b = a if within else np.flatnonzero(side == 1)
-    if not len(a) or not len(b):
-        return []
-    if len(a) * len(b) <= 4 and len(side) == 2:
-        both = np.array([[len(np.intersect1d(keys[0], keys[1], assume_unique=True))]], float)
-        a, b = np.array([0]), np.array([1])
-    else:
-        both = overlaps([keys[i] for i in a], [keys[i] for i in b])
-    total = size[a][:, None] + size[b][None, :] - both
-    ok = (100 * both >= percent * total) & (comp[a][:, None] != comp[b][None, :])
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (y := parent.get(x, x)) != x:
-            parent[x] = parent.get(y, y)
-            x = y
-        return x
-
-    out = []
-    for i, j in zip(*np.nonzero(ok), strict=True):
-        x, y = int(comp[a[i]]), int(comp[b[j]])
-        rx, ry = find(x), find(y)
-        if rx != ry:
-            parent[max(rx, ry)] = min(rx, ry)
-            out.append((x, y))
-    return out
+def _near(percent: int):
+    """Pairs of hubs (side 0) with each other, in salt 0, and with members (side 1), of rows sorted by (sig, salt, side).
 
-
-def _blocks(each):
-    """Streams rows sorted by (gram, i, j); each(rows, starts) gets whole blocks: a table, and where they start."""
-    names = ("gram", "i", "j")
-
-    def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches([r for r in rows if r.num_rows]).combine_chunks()
-        key = [np.asarray(t.column(c)) for c in names]
-        new = np.append(True, np.any([k[1:] != k[:-1] for k in key], axis=0))
-        return each(t, [*np.flatnonzero(new).tolist(), t.num_rows])
+    A pair stays if it may link: other components, fitting sizes, and parity maps that differ little enough.
+    """
+    names = ("cid", "n", "comp", "own", "w")
+
+    def met(hubs: list[np.ndarray], others: list[np.ndarray], within: bool) -> list[np.ndarray]:
+        h, x = [[np.asarray(c) for c in side] for side in (hubs, others)]
+        total = h[1][:, None] + x[1]
+        ok = (h[2][:, None] != x[2]) & (h[3][:, None] | x[3]) & (100 * np.minimum(h[1][:, None], x[1]) >= percent * np.maximum(h[1][:, None], x[1]))
+        if within:
+            ok &= np.triu(np.ones(ok.shape, bool), 1)
+        if ok.any():
+            ok &= differ(h[5], x[5]) <= total * (100 - percent) // (100 + percent)
+        i, j = np.nonzero(ok)
+        first = (h[4][i] > x[4][j]) | (h[4][i] == x[4][j]) & (h[0][i] > x[0][j])  # the more central one is the hub
+        both = [(np.where(first, h[k][i], x[k][j]), np.where(first, x[k][j], h[k][i])) for k in range(3)]
+        return [c for pair in both for c in pair]
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
+        key, hubs = None, None
         for b in batches:
             if not b.num_rows:
                 continue
-            last = [b.column(c)[b.num_rows - 1].as_py() for c in names]
-            cut = int(np.argmax(np.all([np.asarray(b.column(c)) == v for c, v in zip(names, last, strict=True)], axis=0)))
-            if cut or (held and [held[-1].column(c)[0].as_py() for c in names] != last):
-                if cut:
-                    held.append(b.slice(0, cut))
-                if held:
-                    yield flush(held)
-                held = []
-            held.append(b.slice(cut))
-        if held:
-            yield flush(held)
+            sig, salt, side = (np.asarray(b.column(c)) for c in ("sig", "salt", "side"))
+            new = np.append(True, (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1]))
+            starts = np.flatnonzero(new | np.append(False, side[1:] != side[:-1])).tolist()
+            columns = [np.asarray(b.column(c)) for c in names]
+            maps, at = texts(b.column("map"))
+            found = []
+            for a, e in zip(starts, [*starts[1:], b.num_rows], strict=True):
+                rows = [*(c[a:e] for c in columns), maps[at[a] : at[e]].reshape(e - a, -1).view(np.uint64)]
+                here = (int(sig[a]), int(salt[a]))
+                if here != key:
+                    key, hubs = here, None
+                if side[a] == 0:
+                    if salt[a] == 0:
+                        found.append(met(rows, rows, True))
+                        if hubs is not None:  # of the batch before
+                            found.append(met(hubs, rows, False))
+                    hubs = rows if hubs is None else [np.concatenate(c) for c in zip(hubs, rows, strict=True)]
+                elif hubs is not None:
+                    for low in range(0, e - a, STAR):
+                        found.append(met(hubs, [c[low : low + STAR] for c in rows], False))
+            out = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["hub", "cid", "hub_n", "n", "hub_comp", "comp"])
 
     return run
 
 
-def _lists(t: pa.Table, column: str) -> tuple[np.ndarray, list[int]]:
-    lists = t.column(column).chunk(0)
-    off = np.asarray(lists.offsets)
-    return np.asarray(lists.flatten()), (off - off[0]).tolist()
-
-
-def _tested(percent: int):
-    """Edges between components, from blocks of (gram, i, j, side, comp, n, keys)."""
-
-    def each(t: pa.Table, starts: list[int]) -> pa.RecordBatch:
-        i, j, side, comp, size = (np.asarray(t.column(c)) for c in ("i", "j", "side", "comp", "n"))
-        flat, off = _lists(t, "keys")
-        out = []
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            if b - a > 1:
-                out += _links(side[a:b], comp[a:b], size[a:b], [flat[off[k] : off[k + 1]] for k in range(a, b)], i[a] == j[a], percent)
-        return _edges(out)
-
-    return _blocks(each)
-
-
-def _promising(percent: int):
-    """Rows of blocks that have a partner: of another component, of like size, with enough shared prefix
-    n-grams, and with no n-gram of this turn in common that comes before the block's own.
-
-    n-grams come in the order of (m, gram). A pair meets in the first one that it shares: groups of at most
-    SMALL let all pairs meet, leaders of a group lead in the smaller ones, and the last turn has the rest.
-    """
-    names = ["gram", "i", "j", "side", "cid", "comp", "n"]
-
-    def each(t: pa.Table, starts: list[int]) -> pa.RecordBatch:
-        i, j, side, comp, size = (np.asarray(t.column(c)) for c in ("i", "j", "side", "comp", "n"))
-        gram, flat, off = np.asarray(t.column("gram")), *_lists(t, "grams")
-        common, _ = _lists(t, "common")
-        own = [flat[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
-        beyond = size - np.array([prefix(int(x), percent) for x in size])  # n-grams after the prefix
-        keep = np.zeros(t.num_rows, bool)
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            if i[a] == j[a]:
-                x = y = np.arange(a, b)
-            else:
-                x, y = a + np.flatnonzero(side[a:b] == 0), a + np.flatnonzero(side[a:b] == 1)
-            if b - a < 2 or not len(x) or not len(y) or comp[a:b].min() == comp[a:b].max():
-                continue
-            small, large = np.minimum(size[x][:, None], size[y]), np.maximum(size[x][:, None], size[y])
-            ok = (100 * small >= percent * large) & (comp[x][:, None] != comp[y])
-            if ok.any():
-                # Of an overlap o, all but `beyond` are within a prefix; a link has at least this overlap:
-                least = -(-percent * (size[x][:, None] + size[y]) // (100 + percent))
-                need = least - np.maximum(beyond[x][:, None], beyond[y])
-                ok &= overlaps([own[k] for k in x], [own[k] for k in y]) >= need
-            if ok.any():
-                m = common[off[a] : off[a + 1]][own[a] == gram[a]][0]
-                early = [g[(c < m) | (c == m) & (g < gram[a])] for g, c in ((own[k], common[off[k] : off[k + 1]]) for k in range(a, b))]
-                ok &= overlaps([early[k - a] for k in x], [early[k - a] for k in y]) == 0
-            if ok.any():
-                keep[x] |= ok.any(axis=1)
-                keep[y] |= ok.any(axis=0)
-        out = t.select(names).filter(pa.array(keep)).combine_chunks()
-        return pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in out.columns], names)
-
-    return _blocks(each)
-
-
-def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
-
-
-def _meetings(rows: DataFrame, full: bool, turn: int) -> DataFrame:
-    """Rows (gram, cid, comp, n) as they meet: (gram, i, j, side, cid, comp, n).
-
-    Rows of side 0 (leaders, or with `full` those outside the largest component) go to every block
-    of side 1 and, with i = j, meet each other; each pair of blocks of side 0 meets too.
-    """
-    if full:
-        most = rows.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("gram").agg(F.max(F.struct("k", "comp")).alias("top"))
-        marked = rows.join(most, "gram").withColumn("first", F.col("comp") != F.col("top.comp")).drop("top")
-    else:
-        # Leaders of a group lead in every smaller group, too.
-        marked = rows.withColumn("first", (F.col("m") <= SMALL) | (F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(1 << 40)) < F.lit(8.0 * (1 << 40)) / F.col("m")))
-    sizes = marked.groupBy("gram").agg(*[F.greatest(F.ceil(F.count(F.when(c, 1)) / BLOCK), F.ceil(F.sum(F.when(c, F.col("n"))) / BLOCK_GRAMS), F.lit(0)).cast("int").alias(k) for k, c in (("na", F.col("first")), ("nb", ~F.col("first")))])
-    cut = marked.join(sizes, "gram").withColumn("own", F.pmod(F.xxhash64("cid", F.lit(turn + 100)), F.greatest(F.when(F.col("first"), F.col("na")).otherwise(F.col("nb")), F.lit(1))).cast("int"))
-    # Pairs (i, j): i = j for blocks of side 0 alone, i < j for two of them, j = -1 - block for one of side 1.
-    met = F.expr("""CASE WHEN first THEN concat(
-        transform(sequence(0, na - 1), k -> named_struct('i', least(own, k), 'j', greatest(own, k), 'side', IF(own <= k, 0, 1))),
-        IF(nb > 0, transform(sequence(1, nb), k -> named_struct('i', own, 'j', -k, 'side', 0)), array()))
-      ELSE IF(na > 0, transform(sequence(0, na - 1), k -> named_struct('i', k, 'j', -1 - own, 'side', 1)), array()) END""")
-    return cut.select("gram", "cid", "comp", "n", F.explode(met).alias("x")).select("gram", "x.i", "x.j", "x.side", "cid", "comp", "n")
+def _first_pairs(live: DataFrame, percent: int) -> DataFrame:
+    """For each set the most central of the hubs of its groups (one each), if that is of another component and fits."""
+    me = F.struct("w", "cid", "n", "comp", "own")
+    chosen = live.groupBy("sig").agg(F.max(me).alias("h"))
+    met = live.join(chosen, "sig").filter(f"h.comp <> comp AND (h.own OR own) AND 100 * least(h.n, n) >= {percent} * greatest(h.n, n)")
+    best = met.groupBy("cid", "n", "comp").agg(F.max("h").alias("h"))
+    return best.select(F.col("h.cid").alias("hub"), "cid", F.col("h.n").alias("hub_n"), "n", F.col("h.comp").alias("hub_comp"), "comp")
+
+
+def _later_pairs(live: DataFrame, maps: DataFrame, hubs: int, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of hubs (sig, cid), and pairs that may link. In groups of at most `hubs` sets all are hubs."""
+    small = live.filter(F.col("m") <= hubs)
+    large = live.filter(F.col("m") > hubs)
+    bucket = F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(hubs)).cast("int")
+    chosen = large.groupBy("sig", bucket.alias("bucket")).agg(F.max(F.struct("w", "cid")).alias("h")).select("sig", F.col("h.cid").alias("cid"))
+    led = large.join(chosen.withColumn("led", F.lit(True)), ["sig", "cid"], "left")
+    salts = F.ceil(F.col("m") / (8 * STAR)).cast("int")
+    names = ["sig", "cid", "n", "comp", "own", "w"]
+    rows = small.select(*names, F.lit(0).alias("salt"), F.lit(0).alias("side"))
+    rows = rows.unionByName(led.filter("led").select(*names, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("side")))
+    rows = rows.unionByName(led.filter("led IS NULL").select(*names, F.pmod(F.xxhash64("cid"), salts).cast("int").alias("salt"), F.lit(1).alias("side")))
+    dealt = rows.join(maps, ["cid", "own"]).repartition("sig", "salt").sortWithinPartitions("sig", "salt", "side")
+    pairs = dealt.mapInArrow(_near(percent), "hub long, cid long, hub_n long, n long, hub_comp long, comp long")
+    return small.select("sig", "cid").unionByName(chosen), pairs.distinct()
+
+
+def _groups(work: Scratch, shown: DataFrame) -> DataFrame:
+    """Rows (sig, cid, n, own, w) of groups; w tells how central a set is."""
+    every = shown.select(F.explode(F.flatten("parts.sigs")).alias("sig"))
+    repeated = work.table(every.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("sig"), "repeated")
+    known = build(repeated, "sig", bits_for(repeated.count()))
+    rows = shown.select("cid", "n", "parts").mapInArrow(_repeated(known), "sig long, cid long, n long, part int, own boolean, need int").distinct()
+    rows = work.table(rows.join(repeated, "sig", "left_semi"), "rows")
+    counts = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.max("own").alias("any")).filter("m > 1 AND any").select("sig", "m")
+    own = rows.join(counts, "sig").groupBy("cid", "n", "part", "own", "need").agg(F.sort_array(F.collect_list(F.struct("m", "sig"))).alias("list")).filter("size(list) >= need")
+    own = own.select("cid", "n", "own", F.expr("aggregate(list, 0L, (a, x) -> a + x.m)").alias("w"), F.explode(F.expr("slice(list, 1, size(list) - need + 1)")).alias("x"))
+    out = work.table(own.select("x.sig", "cid", "n", "own", "w"), "groups")
+    work.drop(rows, repeated)
+    return out
 
 
 def _linked(spark: SparkSession, docs: DataFrame, width: int, percent: int, mark: Column | None = None) -> tuple[Scratch, DataFrame, DataFrame]:
@@ -367,67 +298,56 @@ def _linked(spark: SparkSession, docs: DataFrame, width: int, percent: int, mark
     row: the smallest doc_id (null last), then the smallest mark.
     """
     ship(spark)
-    small_batches(spark)
     work = Scratch(spark, "jaccard")
     marks = [] if mark is None else [mark.alias("mark")]
     first = [F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("first") for _ in marks]
     marked = docs.select("doc_id", F.col("text").cast("string").alias("text"), *marks)
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    classes = gram_classes(docs, width)
-    sets = work.table(marked.mapInArrow(_prefixes(width, percent, classes), "doc_id long, n long, cid long, check long, head array<long>" + (", mark string" if marks else "")), "sets")
-    whole = work.table(sets.filter("n > 0").groupBy("cid", "check", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("head").alias("head"), *first), "classes")
-    seen = work.table(whole.select(F.explode("head").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("gram"), "grams")
-    some = build(seen.select("gram"), "gram", bits_for(seen.count()))
-    rows = whole.select("cid", "n", "head").mapInArrow(_shared(some, percent), "cid long, n long, gram long").join(seen, "gram", "left_semi")
-    rows = work.table(rows, "shared")
-    for _ in range(2):  # fewer classes leave fewer shared n-grams, and those fewer classes
-        alive = rows.groupBy("cid").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).filter(F.expr(f"k >= 1 + ((n * {percent} + 99) div 100) div 20")).select("cid")
-        kept = rows.join(alive, "cid", "left_semi")
-        counts = kept.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("n0"), F.max("n").alias("n1"))
-        # Two sets of too different sizes are no link.
-        counts = counts.filter(f"m > 2 OR m = 2 AND 100 * n0 >= {percent} * n1").select("gram", "m")
-        fewer = work.table(kept.join(counts, "gram").select("gram", "cid", "n", "m"), "shared")
-        work.drop(rows)
-        rows = fewer.drop("m")
-    rows = fewer.withColumn("comp", F.col("cid"))
+    shown = work.table(marked.mapInArrow(_shown(width, percent), SETS + (", mark string" if marks else "")), "sets")
+    whole = work.table(shown.filter("n > 0").groupBy("cid", "check", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), *first), "classes")
+    rows = _groups(work, shown).withColumn("comp", F.col("cid"))
     ids = work.table(whole.join(rows.select("cid").distinct(), "cid", "left_semi").select("cid", "least"), "ids")
     size = bits_for(ids.count())
-    keys = work.table(docs.mapInArrow(_grams(width, classes, build(ids.select("least"), "least", size), build(ids.select("cid"), "cid", size)), "cid long, keys array<long>"), "keys")
-    roots: DataFrame | None = None
-    for turn, (share, full) in enumerate(((SAMPLE, False), (1, False), (1, True))):
-        part = rows.filter(F.pmod(F.xxhash64("gram"), F.lit(share)) == 0) if share > 1 else rows
-        if full:
-            part = part.filter(F.col("m") > SMALL)
-        # Groups within one component are done; of groups with the same members one is enough.
-        sign = part.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(3), "cid")).alias("s2"), F.max("m").alias("m"))
-        live = sign.filter("c0 <> c1").groupBy("s1", "s2", "m").agg(F.min("gram").alias("gram")).select("gram")
-        met = _meetings(part.join(live, "gram"), full, turn)
-        turned = F.when(F.pmod(F.xxhash64("gram"), F.lit(share)) == 0, F.least("m", F.lit(LAST - 1))).otherwise(LAST).cast("int")
-        own = rows.groupBy("cid").agg(F.collect_list(F.struct("gram", turned.alias("common"))).alias("all"))
-        near = met.join(own, "cid").select(*met.columns, F.col("all.gram").alias("grams"), F.col("all.common").alias("common")).repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
-        met = work.table(near.mapInArrow(_promising(percent), met.schema), "met")
-        cids = met.select("cid").distinct()
-        near = keys.mapInArrow(_filtered(build(cids, "cid", size)), "cid long, keys array<long>")
-        tested = met.join(near, "cid").select("gram", "i", "j", "side", "comp", "n", "keys").repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
-        found = components(work, work.table(tested.mapInArrow(_tested(percent), "a long, b long"), "links"))
-        work.drop(met)
+    keys = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_grams(width, build(ids.select("least"), "least", size), build(ids.select("cid"), "cid", size)), "cid long, keys array<long>")
+    keys = work.table(keys.dropDuplicates(["cid"]), "keys")
+    work.drop(ids)
+    maps = work.table(keys.mapInArrow(_maps(percent), "cid long, own boolean, map binary"), "maps")
+    roots = tested = None
+    turn = 0
+    while True:
+        sign = rows.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("own").alias("any"), F.count(F.lit(1)).alias("m")).filter("c0 <> c1 AND any")
+        live = work.table(rows.join(sign.select("sig", "m"), "sig"), "live")
+        work.drop(rows)
+        if not live.limit(1).count():
+            break
+        if turn:
+            chosen, pairs = _later_pairs(live, maps, HUBS[min(turn, len(HUBS)) - 1], turn, percent)
+            pairs = work.table(pairs.join(tested, ["hub", "cid"], "left_anti"), "pairs")
+            live = live.join(chosen, ["sig", "cid"], "left_anti")
+        else:
+            pairs = work.table(_first_pairs(live, percent), "pairs")
+        tested = pairs.select("hub", "cid") if tested is None else tested.unionByName(pairs.select("hub", "cid"))
+        found = components(work, work.table(_links(pairs, keys, percent), "links"))
         up = found.select(F.col("node").alias("comp"), "root")
-        rows = work.table(rows.join(up, "comp", "left").select("gram", "cid", "n", "m", F.coalesce("root", "comp").alias("comp")), "rows")
+        rows = work.table(live.join(up, "comp", "left").select("sig", "cid", "n", "own", "w", F.coalesce("root", "comp").alias("comp")), "rows")
         if roots is None:
             roots = found
         else:
             old = roots.withColumnRenamed("root", "comp").join(up, "comp", "left").select("node", F.coalesce("root", "comp").alias("root"))
             roots = work.table(old.unionByName(found.join(roots.select("node"), "node", "left_anti")), "roots")
+        turn += 1
+    work.drop(keys, maps)
+    if roots is None:
+        return work, shown, whole.select("*", F.col("cid").alias("root"), F.lit(False).alias("far"))
     linked = whole.join(roots, whole["cid"] == roots["node"], "left").select("cid", "least", "copies", F.coalesce("root", "cid").alias("root"), F.col("root").isNotNull().alias("far"), *(["first"] if marks else []))
-    return work, sets, linked
+    return work, shown, linked
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: links are 100 * intersection >= percent * union."""
-    work, sets, linked = _linked(spark, docs, width, percent)
+    work, shown, linked = _linked(spark, docs, width, percent)
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     names = work.table(linked.filter("far OR copies > 1").join(named, "root").select("cid", "component_id", F.lit(True).alias("found")), "names")
-    out = sets.select("doc_id", "n", "cid").join(names, "cid", "left")
+    out = shown.select("doc_id", "n", "cid").join(names, "cid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -437,11 +357,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, width: int = WIDTH, percen
     Rows are told apart by (doc_id, hash), so ids may be null or repeated; of rows equal in both any one stays.
     """
     sha = F.sha2(F.col("text").cast("string").cast("binary"), 256)
-    work, sets, linked = _linked(spark, docs, width, percent, sha)
+    work, shown, linked = _linked(spark, docs, width, percent, sha)
     firsts = linked.groupBy("root").agg(F.min("first").alias("first"))
     named = linked.filter("far OR copies > 1").select("cid", "root").join(firsts, "root").select("cid", "first")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
-    members = sets.filter("n > 0").select("doc_id", "cid", "mark").join(named, "cid").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), stays.alias("stays"))
+    members = shown.filter("n > 0").select("doc_id", "cid", "mark").join(named, "cid").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), stays.alias("stays"))
     # A component's rows that stay are equal in (doc_id, hash); `copies` tells whether there are several.
     counted = work.table(members.groupBy("_id", "_mark", "stays").agg(F.count(F.lit(1)).alias("copies")), "members")
     marked = docs.withColumn("_sha", sha)

@@ -5,8 +5,12 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 
-from .arrow import mix
+from .arrow import mix, texts
+
+#: Bytes of text whose words are hashed at once; some 100 bytes are held for each.
+SLICE = 512 << 10
 
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
@@ -82,6 +86,68 @@ def shingles(h: np.ndarray, doc: np.ndarray, n: int, width: int) -> tuple[np.nda
         of.append(short)
     if not out:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
+    if len(out) == 1:
+        return out[0], of[0]
     x, d = np.concatenate(out), np.concatenate(of)
     order = np.argsort(d, kind="stable")
     return x[order], d[order]
+
+
+def _long_word(data: np.ndarray) -> np.uint64:
+    """The hash of one word, as hashes() gives it, in steps."""
+    power, _ = _powers(SLICE)
+    total = 0
+    for at in range(0, len(data), SLICE):
+        step = _BYTE[_LOW[data[at : at + SLICE]]] * power[: min(SLICE, len(data) - at)]
+        total += int(step.sum(dtype=np.uint64)) * pow(_BASE, at, 1 << 64)
+    return mix(np.array([(total ^ (len(data) << 48)) & ((1 << 64) - 1)], np.uint64))[0]
+
+
+def stretches(data: np.ndarray):
+    """One text in stretches of at most SLICE bytes that end with a blank, or of one longer word alone."""
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + SLICE)
+        if end < len(data):
+            blank = np.flatnonzero(_SPACE[data[at:end]])
+            if len(blank):
+                end = at + int(blank[-1]) + 1
+            else:
+                while end < len(data) and not _SPACE[data[end : end + SLICE]].any():
+                    end = min(len(data), end + SLICE)
+                if end < len(data):
+                    end += int(np.argmax(_SPACE[data[end : end + SLICE]]))
+        yield data[at:end]
+        at = end
+
+
+def text_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of all words of one text of any length."""
+    out = [np.empty(0, np.uint64)]
+    for part in stretches(data):
+        if len(part) > SLICE:
+            out.append(np.array([_long_word(part)]))
+        else:
+            s, e, _ = spans(part, np.array([0, len(part)]))
+            out.append(hashes(part, s, e))
+    return np.concatenate(out)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def sets(part: pa.RecordBatch, width: int):
+    """The sorted distinct shingle hashes of each text of a slice (at most SLICE bytes, or one row)."""
+    data, off = texts(part.column("text"))
+    if len(data) > SLICE:
+        for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+            h = text_hashes(data[a:b])
+            yield _distinct(shingles(h, np.zeros(len(h), np.int64), 1, width)[0])
+        return
+    s, e, doc = spans(data, off)
+    x, d = shingles(hashes(data, s, e), doc, part.num_rows, width)
+    at = np.searchsorted(d, np.arange(part.num_rows + 1)).tolist()
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        yield _distinct(x[a:b])
