@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read, ship
 from .arrow import sliced
-from .units import Splitter, Units
+from .units import STEP, Units, flat
 
 LONG_WORD = 512
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -76,7 +76,7 @@ class ByteBPE:
         self.con.register("m_", merges)
         self.con.register("v_", vocab)
         self.con.execute("CREATE TABLE merges AS SELECT * FROM m_; CREATE TABLE vocab AS SELECT * FROM v_")
-        self.units = Units(Splitter(pattern), lambda words: self.words([w.encode() for w in words]))
+        self.units = Units(pattern, lambda words: flat(self.words([w.encode() for w in words])))
 
     def words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word."""
@@ -138,9 +138,9 @@ class ByteBPE:
                 offer(before[i])
         return [self.ranks[x] for x in parts if x is not None]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts together, and the offsets of each."""
-        return self.units.ids(texts)
+        return self.units.ids(column)
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """The bytes of each text."""
@@ -172,8 +172,8 @@ def _run(data: bytes, pattern: str, long_word: int, digest: bool):
         bpe = _coder(data, pattern, long_word)
         names = [b.decode() for b in (b"%d" % i for i in range(max(bpe.ranks.values()) + 1))]
         for b in batches:
-            for part in sliced(b, "text", 2 << 20):
-                ids, off = bpe.encode([x or "" for x in part.column("text").to_pylist()])
+            for part in sliced(b, "text", STEP):
+                ids, off = bpe.encode(part.column("text"))
                 off = off.tolist()
                 each = [ids[x:y] for x, y in zip(off[:-1], off[1:], strict=True)]
                 sizes = pa.array([len(x) for x in each], pa.int64())

@@ -21,13 +21,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Scratch, read, ship
 from .arrow import sliced
-from .units import Splitter, Units
+from .fragments import ranges
+from .units import PLAIN, STEP, Units, flat
 
 CAPACITY, END = 2048, 0
 FAN_IN, KEEP_OPEN, WINDOW, SLACK = 8, 24, 1 << 16, 8
@@ -92,8 +95,18 @@ def pieces(ids: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
+#: A match that ends where the next one of its kind begins, whatever stands between them in a text.
+_WORD = regex.compile(r" \p{L}+")
+#: Words that the library encodes in one call.
+JOINED = 256
+
+
 class Tokenizer:
-    """Ids by the tokenizers library, each distinct match of its splitting pattern encoded once."""
+    """Ids by the tokenizers library, each distinct match of its splitting pattern encoded once.
+
+    New words that begin with a space are joined to few strings, which the library splits at the same
+    places; the bytes of each token tell where its word ends.
+    """
 
     def __init__(self, vocabulary: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -101,14 +114,38 @@ class Tokenizer:
 
         self.library = Library.from_str(vocabulary)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.units = Units(Splitter(pattern), lambda words: [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)])
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        odd = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        flat, off = self.units.ids(["" if i in odd else t for i, t in enumerate(texts)])
-        out = [flat[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-        for i in odd:
-            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+        self.bytes = np.zeros(self.library.get_vocab_size(), np.int64)
+        for token, i in self.library.get_vocab().items():
+            self.bytes[i] = len(token)  # a character of a byte-level token is a byte
+        self.joins = pattern == PLAIN
+        self.units = Units(pattern, self._encode)
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        joined = np.array([self.joins and _WORD.fullmatch(w) is not None for w in words])
+        some = [w for w, x in zip(words, joined.tolist(), strict=True) if x]
+        texts = ["".join(some[i : i + JOINED]) for i in range(0, len(some), JOINED)]
+        texts += [w for w, x in zip(words, joined.tolist(), strict=True) if not x]
+        ids, sizes = flat([e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)])
+        if not some:
+            return ids, sizes
+        n = int(sizes[: -(-len(some) // JOINED)].sum())
+        ends = np.searchsorted(np.cumsum(self.bytes[ids[:n]]), np.cumsum([len(w.encode()) for w in some])) + 1
+        count = np.empty(len(words), np.int64)
+        count[joined] = np.diff(ends, prepend=0)
+        count[~joined] = sizes[-(-len(some) // JOINED) :]
+        first = np.empty(len(words), np.int64)
+        first[joined] = ends - count[joined]
+        first[~joined] = n + np.cumsum(count[~joined]) - count[~joined]
+        return ids[ranges(first, count)], count
+
+    def ids(self, column: pa.Array) -> list[np.ndarray]:
+        odd = np.zeros(len(column), bool)
+        for x in self.special:
+            odd |= np.asarray(pc.match_substring(column, x).fill_null(False))
+        flat, off = self.units.ids(pc.if_else(pa.array(odd), "", column) if odd.any() else column)
+        out = np.split(flat, off[1:-1])
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = np.array(self.library.encode(column[i].as_py(), add_special_tokens=False).ids, np.uint32)
         return out
 
 
@@ -128,9 +165,9 @@ def _pieces(vocabulary: str, pattern: str, capacity: int):
     def run(batches):
         tokens = _tokenizer(vocabulary, pattern)
         for b in batches:
-            for part in sliced(b, "text", 2 << 20):
+            for part in sliced(b, "text", STEP):
                 rows = []
-                for doc, ids in zip(part.column("doc_id").to_pylist(), tokens.ids([x or "" for x in part.column("text").to_pylist()]), strict=True):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), tokens.ids(part.column("text")), strict=True):
                     ids = np.append(ids, END).astype("<u4")
                     for k, (x, y) in enumerate(pieces(ids, capacity)):
                         rows.append((doc, k, x, y - x, zlib.crc32(ids[x:y].tobytes())))
