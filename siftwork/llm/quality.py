@@ -3,7 +3,7 @@
 Each document gives a vector of statistics of its whole text, log-transformed. For each class the
 mean and covariance come from moments summed over all labelled training rows; the covariance is
 shrunk towards a multiple of the identity. A score is the logistic function of the difference of
-the two log densities (squared Mahalanobis norms by cached Cholesky factors) and log priors.
+the two log densities (squared Mahalanobis norms by Cholesky factors, inverted once) and log priors.
 
 Defined cases:
 - null and empty texts have statistics of zero and get a score like any other.
@@ -11,6 +11,7 @@ Defined cases:
   rows count once, null labels not at all. A null doc_id is not held out and has no label.
 - without training rows of both classes the score is the share of label 1 (1 without any rows).
 - repeated rows each get their score; an empty table gives an empty result.
+- texts of any length are read whole, in stretches of bounded size.
 - labels, lang, source, doc_id and other columns are never inputs of a score.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch, read, ship
 from .arrow import sliced, texts
-from .words import hashes, shingles, spans
+from .words import SLICE, hashes, shingles, spans, stretches, text_hashes
 
 ACCEPT = 0.7
 SHRINKAGE = 0.05
@@ -45,10 +46,11 @@ def _mask(chars: bytes) -> np.ndarray:
 
 
 _MASKS = {k: _mask(v) for k, v in _CLASS.items()}
+_STOP = _mask(b".?!")
 
 
-def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """A row of transformed statistics for each text."""
+def _counts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """For each text: bytes, those of each class, words, their lengths and squares, and how many are of a kind."""
     n = len(off) - 1
 
     def per(mask: np.ndarray) -> np.ndarray:
@@ -56,19 +58,44 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
         np.cumsum(mask, out=total[1:])
         return (total[off[1:]] - total[off[:-1]]).astype(float)
 
-    size = np.diff(off).astype(float)
-    chars = {k: per(m[data]) for k, m in _MASKS.items()}
     s, e, doc = spans(data, off)
-    words = np.bincount(doc, minlength=n).astype(float)
     length = (e - s).astype(float)
-    some = np.maximum(words, 1)
-    mean = np.bincount(doc, length, n) / some
-    spread = np.sqrt(np.maximum(np.bincount(doc, length**2, n) / some - mean**2, 0))
     last = data[e - 1] if len(e) else np.empty(0, np.uint8)
     first = data[s] if len(s) else np.empty(0, np.uint8)
-    share = lambda mask: np.bincount(doc[mask], minlength=n) / some
-    stop = np.isin(last, np.frombuffer(b".?!", np.uint8))
-    h = hashes(data, s, e)
+    kinds = [_MASKS["mark"][last], last == 33, _MASKS["upper"][first], _STOP[last], length > 20]
+    return np.column_stack([np.diff(off).astype(float), *(per(m[data]) for m in _MASKS.values()), *(np.bincount(doc, x, n) for x in (None, length, length**2)), *(np.bincount(doc[k], minlength=n) for k in kinds)]).astype(float)
+
+
+def _long_counts(data: np.ndarray) -> np.ndarray:
+    """_counts of one text of any length, a stretch at a time; a word longer than a stretch is one of its own."""
+    total = 0.0
+    for part in stretches(data):
+        steps = [part[i : i + SLICE] for i in range(0, len(part), SLICE)]
+        row = sum(_counts(x, np.array([0, len(x)]))[0] for x in steps)
+        if len(steps) > 1:
+            k = len(_MASKS) + 1
+            row[k:] = [1, len(part), float(len(part)) ** 2, *_counts(np.append(part[:1], part[-1:]), np.array([0, 2]))[0][k + 3 : -1], 1]
+        total = total + row
+    return total
+
+
+def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A row of transformed statistics for each text; data has at most SLICE bytes, or one text."""
+    n = len(off) - 1
+    if len(data) > SLICE:
+        if n > 1:
+            return np.concatenate([statistics(data[a:b], np.array([0, b - a])) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
+        counts, h = _long_counts(data)[None, :], text_hashes(data)
+        doc = np.zeros(len(h), np.int64)
+    else:
+        counts = _counts(data, off)
+        s, e, doc = spans(data, off)
+        h = hashes(data, s, e)
+    size, chars = counts[:, 0], dict(zip(_MASKS, counts[:, 1:].T, strict=False))
+    words, total, squares, marked, loud, capital, stop, long = counts[:, len(_MASKS) + 1 :].T
+    some = np.maximum(words, 1)
+    mean = total / some
+    spread = np.sqrt(np.maximum(squares / some - mean**2, 0))
     x, d = shingles(h, doc, n, 3)
     at_w, at_x = np.searchsorted(doc, np.arange(n + 1)), np.searchsorted(d, np.arange(n + 1))
     distinct, most, fresh = np.ones(n), np.zeros(n), np.ones(n)
@@ -84,14 +111,14 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     rate = lambda v, by: np.log(v / np.maximum(by, 1) + 1e-3)
     return np.column_stack([
         np.log1p(words), np.log1p(mean), np.log1p(spread), rate(chars["upper"], letters), rate(chars["digit"], size), rate(chars["point"], size), rate(chars["loud"], size), rate(chars["mark"], size),
-        np.log(share(_MASKS["mark"][last]) + 1e-2), np.log(share(last == 33) + 1e-2), np.log(share(_MASKS["upper"][first]) + 1e-2), rate(chars["line"], words), np.log(share(stop) + 1e-2),
-        distinct, np.log(most + 1e-2), np.log(1.01 - fresh), np.log(share(length > 20) + 1e-2),
+        np.log(marked / some + 1e-2), np.log(loud / some + 1e-2), np.log(capital / some + 1e-2), rate(chars["line"], words), np.log(stop / some + 1e-2),
+        distinct, np.log(most + 1e-2), np.log(1.01 - fresh), np.log(long / some + 1e-2),
     ])
 
 
 def _features(batches):
     for b in batches:
-        for part in sliced(b, "text"):
+        for part in sliced(b, "text", SLICE):
             x = statistics(*texts(part.column("text")))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["doc_id", "x"])
 
@@ -106,11 +133,11 @@ def held_out() -> F.Column:
 
 @dataclass
 class Model:
-    """Means, Cholesky factors, log determinants and log priors of classes 0 and 1."""
+    """Means, inverted Cholesky factors, and the constants of the log densities of classes 0 and 1."""
 
     share: float
     means: list[np.ndarray] | None = None
-    factors: list[np.ndarray] | None = None
+    inverses: list[np.ndarray] | None = None
     logs: list[float] | None = None
     center: np.ndarray | None = None
     scale: np.ndarray | None = None
@@ -119,7 +146,7 @@ class Model:
         if self.means is None:
             return np.full(len(x), self.share)
         z = (x - self.center) / self.scale
-        logs = [c - 0.5 * (np.linalg.solve(f, (z - m).T) ** 2).sum(axis=0) for m, f, c in zip(self.means, self.factors, self.logs, strict=True)]
+        logs = [c - 0.5 * (((z - m) @ f.T) ** 2).sum(axis=1) for m, f, c in zip(self.means, self.inverses, self.logs, strict=True)]
         return 1 / (1 + np.exp(-np.clip(logs[1] - logs[0], -30, 30)))
 
 
@@ -161,15 +188,15 @@ def fit(vectors: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE) ->
     cov = [got[c][d + 1 :].reshape(d, d) / n[c] - np.outer(mean[c], mean[c]) for c in (0, 1)]
     # Scale by the spread of good documents.
     center, scale = mean[1], np.sqrt(np.maximum(np.diag(cov[1]), 1e-4))
-    means, factors, logs = [], [], []
+    means, inverses, logs = [], [], []
     for c in (0, 1):
         v = cov[c] / np.outer(scale, scale)
         v = (1 - shrinkage) * v + (shrinkage * np.trace(v) / d + 1e-6) * np.eye(d)
         f = np.linalg.cholesky(v)
         means.append((mean[c] - center) / scale)
-        factors.append(f)
+        inverses.append(np.linalg.inv(f))
         logs.append(np.log(n[c] / sum(n)) - np.log(np.diag(f)).sum())
-    return Model(n[1] / sum(n), means, factors, logs, center, scale)
+    return Model(n[1] / sum(n), means, inverses, logs, center, scale)
 
 
 def scores(vectors: DataFrame, model: Model) -> DataFrame:
@@ -199,7 +226,7 @@ def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame, accept: fl
 
     def run(batches):
         for b in batches:
-            for part in sliced(b, "text"):
+            for part in sliced(b, "text", SLICE):
                 yield part.filter(pa.array(model.score(statistics(*texts(part.column("text")))) >= accept))
 
     return docs.mapInArrow(run, docs.schema)
