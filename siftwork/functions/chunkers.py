@@ -10,6 +10,7 @@ declaration, or that cannot be parsed, is one `file` chunk.
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 from dataclasses import dataclass
 
@@ -49,19 +50,23 @@ _SWIFT = r"(?:(?:public|private|fileprivate|internal|open|static|final|override|
 _JS = r"(?:export\s+)?(?:default\s+)?"
 _HEADS = {
     "rust": [("function", _MOD + r"fn\s+(?P<n>\w+)"), ("impl", r"(?:unsafe\s+)?impl\b")],
-    "js": [("function", _JS + r"(?:async\s+)?function\s*\*?\s*(?P<n>\w+)"), ("class", _JS + r"class\s+(?P<n>\w+)"),
+    "js": [("function", _JS + r"(?:async\s+)?function\b\s*\*?\s*(?P<n>\w*)"), ("class", _JS + r"class\b(?:\s+(?!extends\b|implements\b)(?P<n>\w+))?"),
            ("function", r"(?:export\s+)?(?:const|let|var)\s+(?P<n>\w+)[^=\n]*=\s*(?:async\s*)?(?:function\b|\([^()]*\)[^=\n{]*=>|\w+\s*=>)"), ("method", r"(?:(?:static|async|get|set)\s+)*\*?(?P<n>[#\w$]+)\s*\([^;{}]*\)[^;{}=]*(?=\{)")],
     "go": [("function", r"func\s+(?:\([^)]*\)\s*)?(?P<n>\w+)"), ("type", r"type\s+(?P<n>\w+)")],
     "java": [("class", _JAVA + r"class\s+(?P<n>\w+)"), ("interface", _JAVA + r"@?interface\s+(?P<n>\w+)"), ("enum", _JAVA + r"enum\s+(?P<n>\w+)"), ("method", _JAVA + r"(?:<[^>]*>\s*)?(?:[\w.<>\[\],?]+\s+)*(?P<n>\w+)\s*\([^;{}]*\)[^;{}=]*(?=\{)")],
-    "c": [("struct", r"(?:typedef\s+|static\s+)?struct\s*(?P<n>\w*)\s*(?=\{)"), ("method", r"[\w*&:<>~,\s]*?[\s*&]\**(?P<n>~?\w+)\s*\([^;{}]*\)[^;{}=]*(?=\{)|(?P<m>~?\w+)\s*\([^;{}]*\)[^;{}=]*(?=\{)")],
     "swift": [("function", _SWIFT + r"func\s+(?P<n>\w+)"), ("class", _SWIFT + r"(?:class|struct|enum|extension|actor)\s+(?P<n>\w+)"), ("interface", _SWIFT + r"protocol\s+(?P<n>\w+)"), ("function", _SWIFT + r"(?:init[?!]?\s*[(<]|deinit\b)")],
 }
 _HEADS["ts"] = [*_HEADS["js"], ("interface", r"(?:export\s+)?(?:declare\s+)?interface\s+(?P<n>\w+)")]
-_HEADS["ts"][1] = ("class", _JS + r"(?:abstract\s+)?class\s+(?P<n>\w+)")
-_HEADS["cpp"] = [("class", r"class\s+(?P<n>\w+)[^;{}()]*(?=\{)"), *_HEADS["c"]]
-_HEADS["cpp"][1] = ("struct", r"(?:typedef\s+)?struct\s*(?P<n>\w*)[^;{}()]*(?=\{)")
+_HEADS["ts"][1] = ("class", _JS + r"(?:abstract\s+)?class\b(?:\s+(?!extends\b|implements\b)(?P<n>\w+))?")
+#: For C and C++, what stands between the last ; { or } and an opening brace.
+_C_TYPE = {"c": re.compile(r"(?:typedef\s+|static\s+)*(?P<k>struct)\b\s*(?P<n>\w*)\s*\Z"), "cpp": re.compile(r"(?:typedef\s+|template\s*<[^{}]*>\s*)*(?P<k>struct|class)\b\s*(?P<n>\w*)[^()=]*\Z")}
+_C_SKIP = re.compile(r"(?:\s+|#(?:[^\n\\]|\\\n|\\)*|(?:public|private|protected)\s*:(?!:))+")
+_C_RETURNS = re.compile(r"[\w*&:<>~,\s\[\]]*\Z")
+_C_NAME = re.compile(r"(?:operator\s*\S{1,3}|~?\w+)\Z")
 _COMPILED = {k: [(kind, re.compile(p)) for kind, p in v] for k, v in _HEADS.items()}
 _NOT_METHODS = {"if", "for", "while", "switch", "catch", "return", "else", "do", "synchronized", "function", "new", "try", "with"}
+_NO_METHOD = re.compile(r"(?:else|return|new|throw)\b")
+_BODY = {k: re.compile(r"[{\n]" if k == "go" else r"[{;]|\n\s*\n" if k in ("js", "ts") else r"[{;]") for k in _HEADS}
 _NOISE = re.compile(r'//[^\n]*|/\*.*?\*/|"""(?:\\.|[^\\])*?"""|"(?:\\.|[^"\\\n])*"|`(?:\\.|[^`\\])*`|\'(?:\\.|[^\'\\\n])\'|\'(?:\\.|[^\'\\\n])*\'', re.S)
 _RUST_NOISE = re.compile(r'//[^\n]*|/\*.*?\*/|r#*"(?:.*?)"#*|"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\\n])\'', re.S)
 
@@ -72,6 +77,26 @@ def _blank(source: str, language: str) -> str:
     return (_RUST_NOISE if language == "rust" else _NOISE).sub(wipe, source)
 
 
+def _past_parentheses(code: str, at: int) -> int:
+    """Past the parameters that open at `at`, and the results if they are in parentheses; type parameters may come first."""
+    for _ in range(2):
+        while at < len(code) and code[at] in " \t":
+            at += 1
+        if at < len(code) and code[at] == "[":
+            at = code.find("]", at) + 1 or len(code)
+        if at >= len(code) or code[at] != "(":
+            break
+        depth = 0
+        for m in re.compile(r"[()]").finditer(code, at):
+            depth += 1 if m[0] == "(" else -1
+            if not depth:
+                at = m.end()
+                break
+        else:
+            raise ValueError("parentheses do not match")
+    return at
+
+
 def _closing(code: str, at: int) -> int:
     """End of the braces that open at `at`."""
     depth = 0
@@ -93,26 +118,60 @@ def _braced(source: str, language: str) -> list[Node]:
                 continue
             groups = m.groupdict()
             name = groups.get("n") or groups.get("m") or ""
-            if kind == "method" and (name in _NOT_METHODS or re.match(r"(?:else|return|new|throw)\b", code[at:])):
+            if kind == "method" and (name in _NOT_METHODS or _NO_METHOD.match(code, at)):
                 continue
-            body = re.compile(r"[{;]" if language != "go" else r"[{\n]").search(code, m.end())
-            if language == "js" or language == "ts":
-                body = re.compile(r"[{;]|\n\s*\n").search(code, m.end())
+            # A signature may go on over lines while its parentheses are open.
+            body = _BODY[language].search(code, _past_parentheses(code, m.end()) if language == "go" and kind == "function" else m.end())
             if body and body[0] == "{":
                 end = _closing(code, body.start())
-                if kind == "struct" and language in ("c", "cpp"):
-                    pass
             elif kind == "type" or (kind == "function" and language in ("js", "ts")):
                 end = body.start() + (body[0] == ";") if body else len(source)
             else:
                 continue  # a declaration without a body
             kind = "function" if kind == "method" else kind
-            start = at if not re.match(r"typedef\s", code[at:]) else at + re.match(r"typedef\s+", code[at:]).end()
-            out.append(Node(start, end, kind, "" if kind == "impl" else name))
+            out.append(Node(at, end, kind, "" if kind == "impl" else name))
             break
     return out
 
 
+def _c(source: str, language: str) -> list[Node]:
+    """Types and functions of C and C++: each opening brace is judged by what stands before it, once."""
+    code = _blank(source, language)
+    out: list[Node] = []
+    opened: list[Node | None] = []
+    last = 0
+    for m in re.finditer(r"[;{}]", code):
+        at, kind = m.start(), m[0]
+        if kind == "}":
+            if not opened:
+                raise ValueError("braces do not match")
+            if node := opened.pop():
+                node.end = m.end()
+                out.append(node)
+        elif kind == "{":
+            skipped = _C_SKIP.match(code, last, at)
+            start = skipped.end() if skipped else last
+            opened.append(_c_node(code[start:at], start, language))
+        last = m.end()
+    if opened:
+        raise ValueError("braces do not match")
+    return out
+
+
+def _c_node(head: str, start: int, language: str) -> Node | None:
+    if m := _C_TYPE[language].match(head):
+        skip = re.match(r"typedef\s+", head)
+        return Node(start + (skip.end() if skip else 0), 0, m["k"], m["n"])
+    left, right = head.find("("), head.rfind(")")
+    if left < 0 or right < left or "=" in head[right:]:
+        return None
+    before = head[:left].rstrip()
+    name = _C_NAME.search(before[-200:])
+    if not name or name[0] in _NOT_METHODS or not _C_RETURNS.match(before[: len(before) - len(name[0])]) or _NO_METHOD.match(head):
+        return None
+    return Node(start, 0, "function", name[0])
+
+
 def _python(source: str) -> list[Node]:
     lines = [0]
     for x in source.split("\n"):
@@ -159,18 +218,20 @@ def chunk_source(extension: str, source: str) -> list[Chunk] | None:
     if language is None:
         return None
     try:
-        nodes = _python(source) if language == "python" else _ruby(source) if language == "ruby" else _braced(source, language)
+        nodes = _python(source) if language == "python" else _ruby(source) if language == "ruby" else _c(source, language) if language in ("c", "cpp") else _braced(source, language)
     except (SyntaxError, ValueError, IndexError, RecursionError):
         return None
-    holds = lambda a: any(b is not a and a.start <= b.start and b.end <= a.end for b in nodes)
-    nodes = [n for n in nodes if n.kind not in CONTAINERS or not holds(n)]
+    # Nodes nest, so what a container holds first begins right after it.
+    nodes.sort(key=lambda n: (n.start, -n.end))
+    nodes = [n for n, then in zip(nodes, [*nodes[1:], None]) if n.kind not in CONTAINERS or then is None or then.end > n.end]
     kept: list[Node] = []
-    for n in sorted(nodes, key=lambda n: (n.start, -n.end)):
+    for n in nodes:
         if not kept or n.start >= kept[-1].end:
             kept.append(n)
     if not kept:
         return None
-    row = lambda at: source.count("\n", 0, at) + 1
+    breaks = [m.start() for m in re.finditer("\n", source)]
+    row = lambda at: bisect.bisect_left(breaks, at) + 1
     out = []
     head = source[: kept[0].start]
     if head.strip():

@@ -43,22 +43,21 @@ def fuzzy_raw(name: str, query: str) -> int:
     """
     if not query:
         return 0
-    if query == query.lower():
+    written, none = name, -(10**9)
+    if query == query.lower() and len(name.lower()) == len(name):
         name = name.lower()
-    none = -(10**9)
-    best = [0] * (len(name) + 1)  # best score with the query so far matched within name[:i]
-    ends = [none] * (len(name) + 1)
+    ends = [none] * (len(name) + 1)  # best score with the query so far matched and its last character at i
     for k, q in enumerate(query):
         new, gap = [none] * (len(name) + 1), none
         for i, c in enumerate(name, 1):
             if c == q:
-                start = i == 1 or not name[i - 2].isalnum() or (c.isupper() and name[i - 2].islower())
+                start = i == 1 or not written[i - 2].isalnum() or (written[i - 1].isupper() and written[i - 2].islower())
                 before = 0 if k == 0 else max(ends[i - 1] + 6, gap)
                 if before > none // 2:
                     new[i] = before + 16 + 8 * start
             gap = max(gap - 1, ends[i - 1] - 3 if k else none)
         ends = new
-    return max(0, *ends) if best else 0
+    return max(0, *ends)
 
 
 def fuzzy(query: str):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +21,11 @@ NOT_WORD = r"[^\p{IsAlphabetic}\p{N}]+"
 _BLANK = r"\A\s+|\s+\z"
 
 
+def is_blank(c: Column) -> Column:
+    """No character but blanks; null stays null."""
+    return F.length(F.regexp_replace(c, r"(?U)\s", "")) == 0
+
+
 def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)" + _BLANK, "")
 
@@ -124,5 +130,5 @@ def identifier(q: str) -> bool:
 
 def terms(q: str) -> list[str]:
     """query_terms for one query on the driver."""
-    words = re.split(r"[\W_]+", q.lower())
+    words = regex.split(r"[^\p{Alphabetic}\p{N}]+", q.lower())
     return sorted({w for w in words if len(w.encode()) >= 3})

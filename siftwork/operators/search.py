@@ -1,17 +1,22 @@
 """Ranked search, exact names, similar chunks, drift, citations: plans over a chunk table.
 
 All scores are column expressions; a query's vector is a literal, and top-k is one
-TakeOrderedAndProject. Batches of queries are joined to the chunks block by block and ranked by a
-partial top-k for each partition before anything is shuffled by query.
+TakeOrderedAndProject. Batches of queries meet the chunks as matrix products in each partition, which
+passes on its k best rows of each query.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import rank, text
 from ..schema import TIES
+from ..session import ship
 
 HIT = ["path", "content", "score", "start_line", "end_line", "chunk_kind", "name", "truncated", "mtime"]
 POOL, CITED, RELEVANT = 50, 3, 0.3
@@ -83,20 +88,70 @@ def drift_flag(hits: DataFrame, threshold: float = 0.35) -> DataFrame:
     return hits.agg(F.coalesce(F.max("score") < threshold, F.lit(True)).alias("likely_stale"))
 
 
-def batch_top_k(chunks: DataFrame, queries: DataFrame, k: int, blocks: int = 8) -> DataFrame:
+def _nearest(asked: list, k: int, kind: pa.DataType):
+    """The k best rows of a partition for each query, by matrix products on Arrow batches."""
+    width = max((len(v) for _, v in asked), default=0)
+    # A vector of another length scores 0, as in dot().
+    sizes = np.array([len(v) for _, v in asked])
+    matrix = np.array([[*v, *[0.0] * (width - len(v))] for _, v in asked], np.float64).reshape(len(asked), width)
+
+    def run(batches):
+        best: list[pd.DataFrame | None] = [None] * len(asked)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists = b.column("embedding").fill_null([])
+            off = np.asarray(lists.offsets)
+            n = np.diff(off)
+            flat, off = np.asarray(lists.flatten()).astype(np.float64), off - off[0]
+            x = np.zeros((b.num_rows, width))
+            fits = n <= width
+            row = np.repeat(np.arange(b.num_rows), n)
+            place = np.arange(len(flat)) - np.repeat(off[:-1], n)
+            keep = fits[row]
+            x[row[keep], place[keep]] = flat[keep]
+            with np.errstate(all="ignore"):
+                score = matrix @ x.T
+            score = np.where((sizes[:, None] != n[None, :]) | ~(score > 0), 0.0, score)
+            ties = b.select(TIES).to_pandas()
+            for q in range(len(asked)):
+                least = -1.0 if best[q] is None or len(best[q]) < k else best[q]["score"].iloc[-1]
+                at = np.flatnonzero(score[q] >= least)
+                if len(at):
+                    new = ties.iloc[at].assign(score=score[q][at])
+                    both = new if best[q] is None else pd.concat([best[q], new])
+                    best[q] = both.sort_values(["score", *TIES], ascending=[False, True, True, True]).head(k)
+        for (key, _), rows in zip(asked, best, strict=True):
+            if rows is not None:
+                arrays = [pa.array([key] * len(rows), kind), *(pa.array(rows[c], t) for c, t in zip([*TIES, "score"], (pa.string(), pa.int32(), pa.int32(), pa.float64()), strict=True))]
+                yield pa.RecordBatch.from_arrays(arrays, ["query", *TIES, "score"])
+
+    return run
+
+
+def batch_top_k(chunks: DataFrame, queries: DataFrame, k: int, wave: int = 1024) -> DataFrame:
     """The k most similar chunks for each row (query_id, vector) of queries.
 
-    The stated queries meet all chunks in blocks: each query block is sent to each of `blocks`
-    salts of chunks by an equi-join, and a first ranking within (query, salt) bounds what the
-    second one sorts.
+    Queries go out in waves of at most `wave`, which are what is sent to the tasks; a task keeps k rows
+    for each query of what it reads, so that k rows a task and query are shuffled, whatever the table.
     """
-    salted = chunks.withColumn("_salt", F.pmod(F.xxhash64("path", "start_line", "chunk_ord"), F.lit(blocks)).cast("int"))
-    asked = queries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    scored = salted.join(asked, "_salt").withColumn("score", rank.dot(F.col("embedding"), F.col("vector")))
-    order = [F.desc("score"), *TIES]
-    near = scored.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_salt").orderBy(*order))).filter(F.col("_r") <= k)
-    out = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)
-    return out.select("query_id", "rank", "path", "start_line", "score")
+    ship(chunks.sparkSession)
+    asked = queries.withColumn("_n", F.row_number().over(Window.orderBy("query_id")) - 1)
+    count = queries.count()
+    kind = queries.schema["query_id"].dataType.simpleString()
+    parts = []
+    for low in range(0, count, wave):
+        rows = asked.filter((F.col("_n") >= low) & (F.col("_n") < low + wave)).select("query_id", F.col("vector").cast("array<double>").alias("vector")).collect()
+        near = _nearest([(r.query_id, r.vector or []) for r in rows], k, to_arrow_type(queries.schema["query_id"].dataType))
+        parts.append(chunks.select(*TIES, "embedding").mapInArrow(near, f"query {kind}, path string, start_line int, chunk_ord int, score double"))
+    if not parts:
+        return chunks.sparkSession.createDataFrame([], f"query_id {kind}, rank int, path string, start_line int, score double")
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    by = Window.partitionBy("query").orderBy(F.desc("score"), *TIES)
+    out = found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+    return out.select(F.col("query").alias("query_id"), "rank", "path", "start_line", "score")
 
 
 def citable(hits: DataFrame) -> DataFrame:

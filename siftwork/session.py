@@ -11,16 +11,15 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Settings that suit any size; a cluster's own settings win where they are set.
+#: Settings that suit any size, for what is not set otherwise.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.shuffle.partitions": "8",
-    "spark.ui.enabled": "false",
-    "spark.driver.memory": "8g",
 }
+#: Settings of a session in one process of this machine.
+LOCAL = {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"}
 
 #: Whether shuffle files go when their query ends, not when the driver collects garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -28,12 +27,19 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _shipped: set[str] = set()
 
 
-def get_spark(master: str = "local[8]", **conf: str) -> SparkSession:
-    """A session with DEFAULTS; for tests, the bench and scripts."""
-    builder = SparkSession.builder.master(master).appName("siftwork")
-    for k, v in (DEFAULTS | conf).items():
+def get_spark(master: str | None = "local[8]", **conf: str) -> SparkSession:
+    """A session for tests, the bench and scripts; without a master, the cluster's, whose settings win over DEFAULTS."""
+    builder = SparkSession.builder.appName("siftwork")
+    if master is not None:
+        builder = builder.master(master)
+    local = LOCAL if master is not None and master.startswith("local") else {}
+    for k, v in (local | conf).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
+    given = spark.sparkContext.getConf()
+    for k, v in DEFAULTS.items():
+        if not given.contains(k):
+            spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -57,11 +63,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a temporary one."""
+    """The folder in spark.checkpoint.dir; where that is unset and all runs in one process, as in tests, a temporary one."""
     sc = spark.sparkContext
     set_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = getattr(sc, "_siftwork_shared", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="siftwork-shared-")

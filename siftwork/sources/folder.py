@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
+from ..functions.text import is_blank
+
 # Fixed values.
 LOCK_FILES = ["Cargo.lock", "package-lock.json", "pnpm-lock.yaml", "yarn.lock", "bun.lock", "bun.lockb", "poetry.lock", "Pipfile.lock", "composer.lock", "Gemfile.lock", "go.sum"]
 BROAD_FOLDERS = ["/Users", "/System", "/Library", "/Applications", "/Volumes"]
@@ -87,11 +89,14 @@ class Ignore:
         return hidden
 
 
-def walk(root: str):
-    """(path, mtime_ns, size) of regular files that no rule ignores, without lock files, in order of path."""
+def walk(root: str, start: str | None = None, deep: bool = True):
+    """(path, mtime_ns, size) of regular files that no rule ignores, without lock files, in order of path.
+
+    A walk may start at a folder below the root, whose rules hold too, and may leave out folders.
+    """
     root = os.path.realpath(root)
     rules = Ignore(root)
-    stack = [root]
+    stack = [start or root]
     while stack:
         folder = stack.pop()
         try:
@@ -100,7 +105,7 @@ def walk(root: str):
             continue
         for e in entries:
             if e.is_dir(follow_symlinks=False):
-                if not rules.ignored(e.path, True):
+                if deep and not rules.ignored(e.path, True):
                     stack.append(e.path)
             elif e.is_file(follow_symlinks=False) and e.name not in LOCK_FILES and not rules.ignored(e.path, False):
                 s = e.stat()
@@ -146,10 +151,8 @@ class _FolderReader(DataSourceReader):
         return [InputPartition(None), *map(InputPartition, sorted(below))]
 
     def read(self, partition):
-        for path, mtime, _ in walk(self.root):
-            own = os.path.dirname(path) == self.root if partition.value is None else path.startswith(partition.value + "/")
-            if own:
-                yield "scan", path, mtime
+        for path, mtime, _ in walk(self.root, partition.value, deep=partition.value is not None):
+            yield "scan", path, mtime
 
 
 class _FolderStream(SimpleDataSourceStreamReader):
@@ -194,7 +197,7 @@ def read_texts(files: DataFrame) -> DataFrame:
     kinds = ", ".join(f"{n} {t}" for n, t in files.dtypes)
     raw = files.mapInArrow(load, f"{kinds}, raw binary")
     text = F.when(F.is_valid_utf8(F.col("raw").cast("string")), F.decode("raw", "UTF-8"))
-    return raw.withColumn("content", F.when(F.length(F.regexp_replace(text, r"(?U)\s", "")) > 0, text)).drop("raw")
+    return raw.withColumn("content", F.when(~is_blank(text), text)).drop("raw")
 
 
 def suggestions(partial: str) -> list[str]:

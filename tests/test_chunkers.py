@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from siftwork.functions.chunkers import chunk_or_whole_file, chunk_source
@@ -33,3 +35,25 @@ def test_kinds(ext, source, kinds, names):
 def test_whole_file(ext, source):
     (only,) = chunk_or_whole_file(ext, source)
     assert (only.kind, only.content, only.start_line) == ("file", source, 1)
+
+NAMED = [
+    ("go", "func F(a int,\n\tb int) (x int,\n\terr error) {\n\treturn\n}\n\nfunc G[T any](x T) T {\n\treturn x\n}\n", [("function", "F"), ("function", "G")]),
+    ("go", "type I interface {\n\tM(a int) error\n}\nfunc ext(a int) int\n", [("type", "I")]),
+    ("js", "export default class extends Base {\n}\n", [("class", "")]),
+    ("js", "export default function () { return 1; }\n", [("function", "")]),
+    ("c", "static int\nf(int a,\n  int b)\n{\n  if (a) { return b; }\n  return 0;\n}\nint t[] = { 1, 2 };\n", [("function", "f")]),
+    ("c", "typedef struct node {\n  int a;\n} node;\n#define X(a) \\\n  { a }\nvoid g(void) { }\n", [("struct", "node"), ("function", "g")]),
+    ("cpp", "namespace n {\ntemplate <typename T>\nclass A : public B {\n public:\n  A() : x(1) { }\n  ~A() { }\n  bool operator==(const A& o) const { return true; }\n};\n}\nvoid A::m() const { }\n", [("function", "A"), ("function", "~A"), ("function", "operator=="), ("function", "m")]),
+]
+
+
+@pytest.mark.parametrize("ext,source,want", NAMED)
+def test_names(ext, source, want):
+    assert [(c.kind, c.name) for c in chunk_source(ext, source) if c.kind != "file"] == want
+
+
+@pytest.mark.parametrize("ext,line", [("c", "some words in a row\n"), ("cpp", "f(a) words\n"), ("c", "{1, 2},\n"), ("rs", "fn f() {}\n")])
+def test_long_files_take_linear_time(ext, line):
+    began = time.process_time()
+    chunk_or_whole_file(ext, line * 40_000)
+    assert time.process_time() - began < 10
