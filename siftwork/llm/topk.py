@@ -9,10 +9,11 @@ score, and of those equal to it the smallest ids.
 Scores are inner products of vectors scaled by 1024 and floored; they are computed exactly.
 
 Defined cases:
-- vectors that are null, or hold null or non-finite components or ones beyond 2**52 when scaled,
-  take no part, nor do rows with a null vec_id; vectors of another length than a query's have no score with it.
-- repeated rows: each is a candidate of its own; of queries with one vec_id the first vector in order
-  asks. All rows with the query's vec_id are left out of its candidates.
+- vectors that are null, or hold null or non-finite components take no part, nor do rows with a null
+  vec_id; vectors of another length than a query's have no score with it.
+- a score that does not fit a long, or a component that is infinite when scaled, fails the search.
+- repeated rows: each is a candidate of its own, and each query row gets its own result. All rows with
+  the query's vec_id are left out of its candidates.
 - fewer than k candidates: all of them. Empty tables give an empty result. Empty vectors score 0.
 """
 
@@ -26,12 +27,17 @@ from pyspark.sql import functions as F
 from ..session import Scratch, read, ship
 
 K, SCALE, WAVE, BINS = 10, 1024, 4096, 1024
+#: Doubles below it hold whole numbers exactly.
 EXACT = 1 << 53
 
 
-def scaled(vectors: list) -> tuple[np.ndarray, np.ndarray]:
+def scaled(vectors: list) -> np.ndarray:
     """Scaled components (n, d) of vectors of one length, as doubles of whole numbers."""
-    return np.floor(np.asarray(vectors, np.float64) * SCALE)
+    with np.errstate(over="ignore"):
+        out = np.floor(np.asarray(vectors, np.float64) * SCALE)
+    if not np.isfinite(out).all():
+        raise OverflowError("a component is infinite when scaled")
+    return out
 
 
 def _usable(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -48,28 +54,33 @@ def _usable(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     out = {}
     for d in np.unique(sizes).tolist():
         at = np.flatnonzero(sizes == d)
-        v = np.floor(x[starts[at][:, None] + np.arange(d)] * SCALE)
-        good = np.isfinite(v).all(axis=1) & (np.abs(v) < EXACT / 2).all(axis=1)
+        v = x[starts[at][:, None] + np.arange(d)]
+        good = np.isfinite(v).all(axis=1)
         if good.any():
-            out[d] = np.asarray(ids)[at[good]].astype(np.int64), v[good]
+            out[d] = np.asarray(ids)[at[good]].astype(np.int64), scaled(v[good])
     return out
 
 
+_INTEGER = np.frompyfunc(int, 1, 1)
+
+
 def inner(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Whole inner products (queries, rows); by Python integers where doubles or longs would not be exact."""
     if not q.shape[1]:
         return np.zeros((len(q), len(v)), np.int64)
     if np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * q.shape[1] < EXACT:
         return (q @ v.T).astype(np.int64)
-    whole = q.astype(np.int64).astype(object) @ v.astype(np.int64).astype(object).T
-    return np.clip(whole, -(1 << 63), (1 << 63) - 1).astype(np.int64)
+    whole = _INTEGER(q) @ _INTEGER(v).T
+    if (whole < -(1 << 63)).any() or (whole >= 1 << 63).any():
+        raise OverflowError("a score does not fit a long")
+    return whole.astype(np.int64)
 
 
 class Wave:
-    """Queries by vector length: numbers in the wave, ids, scaled vectors."""
+    """Queries by vector length: numbers in the wave, ids, scaled vectors. `first` is the number of the first one in the search."""
 
-    def __init__(self, ids: list[int], vectors: list):
-        self.ids = np.array(ids, np.int64)
+    def __init__(self, ids: list[int], vectors: list, first: int = 0):
+        self.ids, self.first = np.array(ids, np.int64), first
         self.by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         sizes = np.array([len(v) for v in vectors])
         for d in np.unique(sizes).tolist():
@@ -139,22 +150,22 @@ def _final(wave: Wave, kth: np.ndarray, k: int):
             out = []
             for at, ids, s, ok in wave.scores(b):
                 r, c = np.nonzero(ok & (s > kth[at][:, None]))
-                out.append((wave.ids[at[r]], ids[c], s[r, c]))
+                out.append((at[r], ids[c], s[r, c]))
                 equal = ok & (s == kth[at][:, None])
                 for r in np.flatnonzero(equal.any(axis=1)).tolist():
                     q = int(at[r])
                     ties[q] = np.sort(np.concatenate([ties.get(q, ids[:0]), ids[equal[r]]]))[:k]
             if out:
-                yield _hits(*(np.concatenate([x[i] for x in out]) for i in range(3)))
+                yield _hits(wave, *(np.concatenate([x[i] for x in out]) for i in range(3)))
         if ties:
-            q = np.repeat(list(ties), [len(x) for x in ties.values()])
-            yield _hits(wave.ids[q], np.concatenate(list(ties.values())), kth[q])
+            q = np.repeat(np.array(list(ties), np.int64), [len(x) for x in ties.values()])
+            yield _hits(wave, q, np.concatenate(list(ties.values())), kth[q])
 
     return run
 
 
-def _hits(q: np.ndarray, v: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.int64())], ["query_id", "vec_id", "score"])
+def _hits(wave: Wave, q: np.ndarray, v: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(q + wave.first, pa.int64()), pa.array(wave.ids[q]), pa.array(v, pa.int64()), pa.array(s, pa.int64())], ["query", "query_id", "vec_id", "score"])
 
 
 def search(spark: SparkSession, queries: DataFrame, rows: DataFrame, k: int = K, wave: int = WAVE) -> DataFrame:
@@ -163,24 +174,25 @@ def search(spark: SparkSession, queries: DataFrame, rows: DataFrame, k: int = K,
     work = Scratch(spark, "topk")
     rows = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.expr("forall(embedding, x -> coalesce(abs(x) < double('Infinity') AND NOT isnan(x), false))")
-    asked = queries.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).filter(good & F.expr(f"forall(embedding, x -> abs(floor(x * {SCALE}D)) < {EXACT // 2})"))
-    asked = asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    asked = queries.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).filter(good)
     n = asked.count()
     waves = max(1, -(-n // wave))
-    parts = work.table(asked.withColumn("wave", F.pmod(F.xxhash64("vec_id"), F.lit(2 * waves))), "queries") if waves > 1 else asked.withColumn("wave", F.lit(0))
-    hits = []
+    # Written, as a row's number may be another one when the plan runs again.
+    parts = work.table(asked.withColumn("wave", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(2 * waves))), "queries") if waves > 1 else asked.withColumn("wave", F.lit(0))
+    hits, first = [], 0
     for i in range(2 * waves if waves > 1 else 1):  # a wave holds about half of `wave` queries
         got = sorted(parts.filter(F.col("wave") == i).select("vec_id", "embedding").collect())
         for at in range(0, len(got), wave):
             part = got[at : at + wave]
-            w = Wave([r.vec_id for r in part], [r.embedding for r in part])
+            w = Wave([r.vec_id for r in part], [r.embedding for r in part], first)
+            first += len(part)
             hits.append(work.table(_select(rows, w, k), "hits"))
     if not hits:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     out = hits[0]
     for h in hits[1:]:
         out = out.unionByName(h)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -204,7 +216,7 @@ def _select(rows: DataFrame, w: Wave, k: int) -> DataFrame:
                 active = True
             else:
                 low[r.q] += r.bin
-    return rows.mapInArrow(_final(w, low, k), "query_id long, vec_id long, score long")
+    return rows.mapInArrow(_final(w, low, k), "query long, query_id long, vec_id long, score long")
 
 
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,9 +225,9 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """

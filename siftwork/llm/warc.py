@@ -16,13 +16,17 @@ Defined cases:
 - "earlier" is a smaller timestamp; of responses with one timestamp the largest record id counts.
 - revisits without a URL or timestamp are orphans; repeated revisit rows each get a result, of
   repeated response rows with one record id any one serves (they are the same record).
-- records that cannot be parsed end their file's records; an empty table gives an empty result.
+- a response without a record id is known by a hash of what it holds, and response_id is null.
+- records that cannot be parsed (a bad length, a cut or broken compressed file) end their file's
+  records; those before stay. Fractions of a second in a date are dropped; a date that cannot be read
+  is null. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import gzip
 import io
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,6 +39,8 @@ PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "la
 #: Statuses of responses that hold the whole representation.
 FULL = [200, 203]
 BUCKET = 3600
+#: Bytes of bodies that are held before they are passed on.
+HELD = 4 << 20
 CAPTURE = "record_id string, kind string, url string, ts long, status int, headers map<string,string>, body binary"
 
 
@@ -48,8 +54,15 @@ def canonical(url: Column) -> Column:
 
 
 def records(data: bytes):
-    """(WARC headers, HTTP status, HTTP headers, body) of each record of a plain or gzipped file."""
-    stream = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+    """(WARC headers, HTTP status, HTTP headers, body) of each record of a plain or gzipped file, one at a time."""
+    stream = io.BytesIO(data)
+    try:
+        yield from _records(gzip.GzipFile(fileobj=stream) if data[:2] == b"\x1f\x8b" else stream)
+    except (EOFError, OSError, zlib.error):  # the file ends early or is broken
+        return
+
+
+def _records(stream):
     while True:
         line = stream.readline()
         while line and not line.strip():
@@ -61,7 +74,9 @@ def records(data: bytes):
             size = int(head.get("content-length", "0"))
         except ValueError:
             return
-        block = stream.read(size)
+        block = stream.read(size) if size >= 0 else b""
+        if size < 0 or len(block) < size:
+            return
         status, http, body = None, {}, block
         if block.startswith(b"HTTP/"):
             inner = io.BytesIO(block)
@@ -72,7 +87,7 @@ def records(data: bytes):
         yield head, status, http, body
 
 
-def _headers(stream: io.BytesIO) -> dict[str, str]:
+def _headers(stream) -> dict[str, str]:
     out: dict[str, str] = {}
     while (line := stream.readline()).strip():
         name, _, value = line.decode("utf-8", "replace").partition(":")
@@ -80,6 +95,11 @@ def _headers(stream: io.BytesIO) -> dict[str, str]:
     return out
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["record_id", "kind", "url", "date", "status", "headers", "body"])
+
+
 def parse(spark: SparkSession, files: DataFrame) -> DataFrame:
     """Captures (CAPTURE) of responses and revisits from rows with a binary column `content`."""
     ship(spark)
@@ -87,41 +107,52 @@ def parse(spark: SparkSession, files: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for data in b.column(0).to_pylist():
-                rows = []
+                rows, size = [], 0
                 for head, status, http, body in records(data or b""):
                     if head.get("warc-type") in ("response", "revisit"):
                         rows.append((head.get("warc-record-id"), head["warc-type"], head.get("warc-target-uri"), head.get("warc-date"), status, list(http.items()), body))
+                        size += len(body)
+                    if size > HELD:
+                        yield _batch(rows)
+                        rows, size = [], 0
                 if rows:
-                    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary()]
-                    names = ["record_id", "kind", "url", "date", "status", "headers", "body"]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+                    yield _batch(rows)
 
     got = files.select(F.col("content").cast("binary")).mapInArrow(run, "record_id string, kind string, url string, date string, status int, headers map<string,string>, body binary")
-    return got.select("record_id", "kind", "url", F.unix_timestamp(F.try_to_timestamp("date", F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))).alias("ts"), "status", "headers", "body")
+    return got.select("record_id", "kind", "url", F.unix_timestamp(F.try_to_timestamp(F.regexp_replace("date", r"\.[0-9]+(?=Z\z)", ""), F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))).alias("ts"), "status", "headers", "body")
 
 
 def resolve_revisits(spark: SparkSession, captures: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """For each revisit: (record_id, url, ts, outcome, response_id, status, headers, body)."""
     work = Scratch(spark, "warc")
-    rows = work.table(captures.withColumn("curl", canonical(F.col("url"))), "captures")
-    slim = rows.select("curl", "ts", "kind", "record_id", F.expr(f"ts div {bucket}").alias("bucket"), "status", F.col("headers")["etag"].alias("etag"), F.col("headers")["last-modified"].alias("modified"))
-    full = F.when((F.col("kind") == "response") & F.col("status").isin(FULL) & F.col("ts").isNotNull(), F.struct("ts", "record_id", "etag", "modified"))
-    last = slim.groupBy("curl", "bucket").agg(F.max(full).alias("last"))
+    listed = ", ".join(f"'{h}'" for h in PERMITTED)
+    full = (F.col("kind") == "response") & F.col("status").isin(FULL)
+    same_record = F.sha2(F.to_json(F.struct("url", "ts", "status", F.array_sort(F.map_entries("headers")).alias("h"), F.sha2("body", 256).alias("b"))), 256)
+    captures = captures.select("record_id", "kind", "url", "ts", "status", "headers", "body")
+    rows = captures.filter(full | (F.col("kind") == "revisit")).withColumn("curl", canonical(F.col("url")))
+    rows = work.table(rows.withColumn("key", F.coalesce(F.concat(F.lit("i"), "record_id"), F.concat(F.lit("h"), same_record))), "captures")
+    # A revisit brings what it may update; only that and the validators go through the windows.
+    new = F.when(F.col("kind") == "revisit", F.expr(f"map_filter(coalesce(headers, map()), (k, v) -> k IN ({listed}))"))
+    slim = rows.select("curl", "ts", "kind", "record_id", "key", F.expr(f"ts div {bucket}").alias("bucket"), "status", F.col("headers")["etag"].alias("etag"), F.col("headers")["last-modified"].alias("modified"), new.alias("new"))
+    placed = slim.filter("curl IS NOT NULL AND ts IS NOT NULL")
+    served = F.when(full, F.struct("ts", "record_id", "key", "etag", "modified"))
+    last = placed.groupBy("curl", "bucket").agg(F.max(served).alias("last"))
     before = Window.partitionBy("curl").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select(F.col("curl").alias("_c"), F.col("bucket").alias("_b"), F.last("last", ignorenulls=True).over(before).alias("carry"))
+    carried = last.select("curl", "bucket", F.last("last", ignorenulls=True).over(before).alias("carry"))
     within = Window.partitionBy("curl", "bucket").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    near = slim.withColumn("near", F.max(full).over(within)).filter("kind = 'revisit'")
-    found = near.join(carried, near["curl"].eqNullSafe(carried["_c"]) & near["bucket"].eqNullSafe(carried["_b"]), "left")
-    found = found.withColumn("of", F.when(F.col("curl").isNotNull() & F.col("ts").isNotNull(), F.coalesce("near", "carry")))
+    near = placed.withColumn("near", F.max(served).over(within)).filter("kind = 'revisit'")
+    found = near.join(carried, ["curl", "bucket"], "left").withColumn("of", F.coalesce("near", "carry"))
     strong = lambda c: F.regexp_replace(c, r"\AW/", "")
     tags, dates = F.col("etag").isNotNull() & F.col("of.etag").isNotNull(), F.col("modified").isNotNull() & F.col("of.modified").isNotNull()
     same = F.when(tags, strong(F.col("etag")) == strong(F.col("of.etag"))).when(dates, F.col("modified") == F.col("of.modified"))
     outcome = F.when(F.col("of").isNull(), "orphan").when(same.isNull(), "unverified").when(same, "matched").otherwise("mismatch")
-    judged = found.select("record_id", "curl", "ts", outcome.alias("outcome"), F.col("of.record_id").alias("response_id"))
-    bodies = rows.filter((F.col("kind") == "response") & F.col("status").isin(FULL)).dropDuplicates(["record_id"]).select(F.col("record_id").alias("response_id"), F.col("status").alias("r_status"), F.col("headers").alias("r_headers"), "body")
-    own = rows.filter("kind = 'revisit'").select("record_id", F.col("headers").alias("new")).dropDuplicates(["record_id"])
-    joined = judged.join(own, "record_id", "left").join(bodies, "response_id", "left")
-    listed = ", ".join(f"'{h}'" for h in PERMITTED)
+    judged = found.select("record_id", "curl", "ts", outcome.alias("outcome"), F.col("of.record_id").alias("response_id"), F.col("of.key").alias("of_key"), "new")
+    # Without a URL or a time there is nothing earlier.
+    lost = slim.filter("kind = 'revisit' AND (curl IS NULL OR ts IS NULL)")
+    none = F.lit(None).cast("string")
+    judged = judged.unionByName(lost.select("record_id", "curl", "ts", F.lit("orphan").alias("outcome"), none.alias("response_id"), none.alias("of_key"), "new"))
+    bodies = rows.filter(full).dropDuplicates(["key"]).select(F.col("key").alias("of_key"), F.col("status").alias("r_status"), F.col("headers").alias("r_headers"), "body")
+    joined = judged.join(bodies, "of_key", "left")
     merged = F.expr(f"map_concat(map_filter(coalesce(r_headers, map()), (k, v) -> NOT (k IN ({listed}) AND map_contains_key(coalesce(new, map()), k))), map_filter(coalesce(new, map()), (k, v) -> k IN ({listed})))")
     ok = F.col("outcome").isin("matched", "unverified")
     return joined.select("record_id", F.col("curl").alias("url"), "ts", "outcome", "response_id", F.when(ok, F.col("r_status")).alias("status"), F.when(ok, merged).alias("headers"), F.when(ok, F.col("body")).alias("body"))
