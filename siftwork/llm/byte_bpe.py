@@ -6,8 +6,12 @@ word's leftmost pair of minimum rank until no word has a pair left. A word that
 needs no query, as in tiktoken. Decoding joins (text, position, id) rows to the vocabulary and
 aggregates bytes in order of position.
 
-Words above `long_word` bytes would cost the recursion quadratic time; a heap of pairs with the same
-order of merges takes those, so that one such word cannot hold up a partition.
+If every token of the vocabulary encodes to itself, as in trained ones (it is tried out once), a step
+contracts all pairs of a word's minimum rank m, from the left. That is the same: a contraction could
+only come between them if it made a pair of a lower rank, of tokens x and t, say. All pairs below m are
+contracted by now, so the bytes of xt, alone, would have stayed two tokens at its rank, and xt would not
+encode to itself. So a long word takes as many steps as it has ranks. For other vocabularies, a step
+contracts the leftmost pair alone.
 
 Defined cases: null and empty texts have no ids; texts of any length are encoded whole, in slices
 for memory; repeated rows each get their result; an empty table gives an empty result; strings of
@@ -18,7 +22,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 
 import duckdb
 import numpy as np
@@ -29,31 +32,36 @@ from ..session import read, ship
 from .arrow import sliced
 from .units import STEP, Units, flat
 
-LONG_WORD = 512
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-#: One row for each token of each word; pair = rank << 44 | position << 22 | next position, so that the
-#: least pair of a word is its leftmost pair of minimum rank.
+#: One row for each token of each word. A step takes every word's pairs of minimum rank, from the left and
+#: without overlap: of a run of such pairs, whose neighbours share a token, the first, third, and so on ({which}).
 _STEP = """
 SELECT * FROM (
-  WITH q AS MATERIALIZED (
-    SELECT a.w, a.p, a.id, (m.rank << 44) | (a.p::BIGINT << 22) | a.np AS pair
-    FROM (SELECT w, p, id, CASE WHEN lead(w) OVER () = w THEN lead(id) OVER () END AS nid, lead(p) OVER () AS np FROM ({rows} ORDER BY w, p)) a
-    LEFT JOIN merges m ON m.l = a.id AND m.r = a.nid),
-  g AS (SELECT w, min(pair) AS best FROM q WHERE pair IS NOT NULL GROUP BY w)
-  SELECT q.w, q.p, q.id, q.pair, g.best FROM q LEFT JOIN g ON q.w = g.w)
+  WITH t AS MATERIALIZED (SELECT w, p, id, row_number() OVER () AS i, lead(w) OVER () = w AS more, lead(id) OVER () AS nid FROM ({rows} ORDER BY w, p)),
+  q AS MATERIALIZED (SELECT t.w, t.p, t.id, t.i, m.rank FROM t LEFT JOIN merges m ON t.more AND m.l = t.id AND m.r = t.nid),
+  g AS (SELECT w, min(rank) AS best FROM q WHERE rank IS NOT NULL GROUP BY w),
+  r AS (SELECT q.i, g.w, row_number() OVER (PARTITION BY g.w ORDER BY q.i) AS k FROM q JOIN g ON q.w = g.w AND q.rank = g.best),
+  f AS (SELECT i FROM (SELECT i, row_number() OVER (PARTITION BY w, i - k ORDER BY i) AS n, k FROM r) WHERE {which})
+  SELECT q.w, q.p, CASE WHEN x.i IS NOT NULL THEN q.rank::INT ELSE q.id END AS id, g.best IS NULL AS done
+  FROM q LEFT JOIN g ON q.w = g.w LEFT JOIN f x ON x.i = q.i LEFT JOIN f y ON y.i + 1 = q.i WHERE y.i IS NULL)
 """
-_ENCODE = f"""
+_ENCODE = """
 WITH RECURSIVE s AS (
-  {_STEP.format(rows="SELECT w, p, id FROM bytes")}
+  {first}
   UNION ALL
-  {_STEP.format(rows="SELECT w, p, CASE WHEN pair = best THEN (best >> 44)::INT ELSE id END AS id FROM s WHERE best IS NOT NULL AND p <> (best & 4194303)")}
+  {next}
 )
-SELECT w, p, id FROM s WHERE best IS NULL ORDER BY w, p
+SELECT w, p, id FROM s WHERE done ORDER BY w, p
 """
 _DECODE = "SELECT t.d, string_agg(v.s, '' ORDER BY t.p) AS s FROM tokens t JOIN vocab v ON v.id = t.id GROUP BY t.d"
 
 
+def _query(which: str) -> str:
+    first, then = (_STEP.format(rows=rows, which=which) for rows in ("SELECT w, p, id FROM bytes", "SELECT w, p, id FROM s WHERE NOT done"))
+    return _ENCODE.format(first=first, next=then)
+
+
 def parse_ranks(data: bytes) -> dict[bytes, int]:
     """Ranks from lines of a base64 token and its rank."""
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
@@ -62,8 +70,9 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 class ByteBPE:
     """Encodes and decodes with a rank file; holds one DuckDB connection and a bounded word cache."""
 
-    def __init__(self, data: bytes, pattern: str, long_word: int = LONG_WORD):
-        self.ranks, self.long_word = parse_ranks(data), long_word
+    def __init__(self, data: bytes, pattern: str, together: bool | None = None):
+        """together: whether a step may contract all pairs of minimum rank; None tries out the vocabulary."""
+        self.ranks = parse_ranks(data)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
         self.con.execute("SET enable_progress_bar = false")
         ranks = self.ranks
@@ -76,21 +85,28 @@ class ByteBPE:
         self.con.register("m_", merges)
         self.con.register("v_", vocab)
         self.con.execute("CREATE TABLE merges AS SELECT * FROM m_; CREATE TABLE vocab AS SELECT * FROM v_")
+        self.query = _query("k = 1")
+        if together is None:
+            tokens = list(ranks)
+            together = all(list(x) == [ranks[t]] for t, x in zip(tokens, self._merged(tokens), strict=True))
+        if together:
+            self.query = _query("n % 2 = 1")
+        self.together = together
         self.units = Units(pattern, lambda words: flat(self.words([w.encode() for w in words])))
 
     def words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word."""
         out: list = [self.ranks.get(w) for w in words]
-        todo = []
-        for i, x in enumerate(out):
-            if x is not None:
-                out[i] = (x,)
-            elif len(words[i]) > self.long_word:
-                out[i] = self._heap(words[i])
-            elif words[i]:
-                todo.append(i)
-            else:
-                out[i] = ()
+        todo = [i for i, x in enumerate(out) if x is None and words[i]]
+        out = [(x,) if x is not None else () for x in out]
+        for i, ids in zip(todo, self._merged([words[i] for i in todo]), strict=True):
+            out[i] = ids
+        return out
+
+    def _merged(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of words that are not empty, by the recursive query."""
+        out: list = [()] * len(words)
+        todo = range(len(words))
         at = 0
         while at < len(todo):
             end, size = at, 0
@@ -103,7 +119,7 @@ class ByteBPE:
             w = np.repeat(np.arange(len(part)), sizes)
             p = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             self.con.register("bytes", pa.table({"w": w.astype(np.int32), "p": p.astype(np.int32), "id": self.byte_ids[data]}))
-            got = self.con.execute(_ENCODE).fetchnumpy()
+            got = self.con.execute(self.query).fetchnumpy()
             self.con.unregister("bytes")
             ids = np.asarray(got["id"]).tolist()
             cut = np.searchsorted(np.asarray(got["w"]), np.arange(len(part) + 1)).tolist()
@@ -112,32 +128,6 @@ class ByteBPE:
             at = end
         return out
 
-    def _heap(self, word: bytes) -> list[int]:
-        """The same merges for a very long word: a heap of (rank, position) over a linked list."""
-        parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
-        after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
-        heap: list[tuple[int, int, bytes]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < len(parts) and (r := self.ranks.get(both := parts[i] + parts[j])) is not None:
-                heapq.heappush(heap, (r, i, both))
-
-        for i in range(len(parts)):
-            offer(i)
-        while heap:
-            _, i, both = heapq.heappop(heap)
-            if parts[i] is None or (j := after[i]) >= len(parts) or len(parts[i]) + len(parts[j]) != len(both) or parts[i] + parts[j] != both:
-                continue
-            parts[i], parts[j] = both, None
-            after[i] = after[j]
-            if after[j] < len(parts):
-                before[after[j]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return [self.ranks[x] for x in parts if x is not None]
-
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts together, and the offsets of each."""
         return self.units.ids(column)
@@ -158,18 +148,20 @@ class ByteBPE:
 _coders: dict[tuple, ByteBPE] = {}
 
 
-def _coder(data: bytes, pattern: str, long_word: int) -> ByteBPE:
+def _coder(data: bytes, pattern: str, together: bool | None = None) -> ByteBPE:
     """The coder of this worker process; its caches stay from task to task."""
-    key = (hashlib.sha256(data).digest(), pattern, long_word)
+    key = (hashlib.sha256(data).digest(), pattern)
     if key not in _coders:
         _coders.clear()
-        _coders[key] = ByteBPE(data, pattern, long_word)
+        _coders[key] = ByteBPE(data, pattern, together)
     return _coders[key]
 
 
-def _run(data: bytes, pattern: str, long_word: int, digest: bool):
+def _run(data: bytes, pattern: str, digest: bool):
+    together = _coder(data, pattern).together  # tried out here, once, not by each worker
+
     def run(batches):
-        bpe = _coder(data, pattern, long_word)
+        bpe = _coder(data, pattern, together)
         names = [b.decode() for b in (b"%d" % i for i in range(max(bpe.ranks.values()) + 1))]
         for b in batches:
             for part in sliced(b, "text", STEP):
@@ -188,10 +180,10 @@ def _run(data: bytes, pattern: str, long_word: int, digest: bool):
     return run
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, long_word: int = LONG_WORD) -> DataFrame:
+def encode(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """(doc_id, ids) for each row of docs. `ranks` is the content of a rank file, of fixed size."""
     ship(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_run(ranks, pattern, long_word, False), "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(_run(ranks, pattern, False), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
@@ -199,7 +191,7 @@ def decode(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     ship(encoded.sparkSession)
 
     def run(batches):
-        bpe = _coder(ranks, pattern, LONG_WORD)
+        bpe = _coder(ranks, pattern)
         for b in batches:
             lists = [np.asarray(x or [], np.int64) for x in b.column(1).to_pylist()]
             off = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
@@ -215,4 +207,4 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_m
     with open(public_tokenizers.path(vocabulary), "rb") as f:
         ranks = f.read()
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.mapInArrow(_run(ranks, public_tokenizers.PATTERN, LONG_WORD, True), SCHEMA)
+    return docs.mapInArrow(_run(ranks, public_tokenizers.PATTERN, True), SCHEMA)

@@ -61,3 +61,46 @@ def test_joined_words_have_the_library_s_ids():
     texts = ["".join(r.choice(CHARS + [" the", "tion", "日本 ", "éàü"]) for _ in range(r.randint(0, 60))) for _ in range(1500)] + ["x <|endoftext|> y", None, " a" * 600]
     got = [x.tolist() for x in own.ids(pa.array(texts, pa.string()))]
     assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("together", [None, False])
+def test_words_of_any_length_by_the_recursive_query(together):
+    P = pytest.importorskip("public_tokenizers")
+    tiktoken = pytest.importorskip("tiktoken")
+    from siftwork.llm import byte_bpe
+
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        data = f.read()
+    coder = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.parse_ranks(data), special_tokens={})
+    own = byte_bpe.ByteBPE(data, P.PATTERN, together)
+    assert own.together is (together is None)
+    r = random.Random(9)
+    words = ["a" * n for n in range(1, 70)] + ["ab" * n + "a" for n in range(1, 30)] + ["ana" * 300, "日本" * 400, "a" * 3000, "é" * 501]
+    words += ["".join(r.choice(c) for _ in range(r.randint(1, 30))) for c in ("aab", "abcdefghijklmnopqrstuvwxyz", "éaœ日") for _ in range(300)]
+    words += ["".join(r.choice("etaoinsh") for _ in range(1500))]
+    assert [list(x) for x in own.words([w.encode() for w in words])] == [coder.encode_ordinary(w) for w in words]
+
+
+def test_a_vocabulary_with_unreachable_tokens_contracts_one_pair_at_a_time():
+    import base64
+
+    from siftwork.llm import byte_bpe
+
+    ranks = [bytes([i]) for i in range(256)] + [b"abc", b"bc", b"cc", b"ab", b"bca"]  # abc ranks before its parts
+    data = b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(ranks))
+    own = byte_bpe.ByteBPE(data, r"\w+")
+    assert not own.together
+
+    def merged(word):
+        parts = [bytes([x]) for x in word]
+        while True:
+            pairs = [(ranks.index(a + b), i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+            if not pairs:
+                return [ranks.index(p) for p in parts]
+            i = min(pairs)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    r = random.Random(6)
+    words = ["".join(r.choice("abc") for _ in range(r.randint(2, 20))).encode() for _ in range(500)]
+    words = [w for w in words if w not in ranks]
+    assert [list(x) for x in own.words(words)] == [merged(w) for w in words]
