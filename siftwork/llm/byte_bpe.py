@@ -6,12 +6,12 @@ word's leftmost pair of minimum rank until no word has a pair left. A word that
 needs no query, as in tiktoken. Decoding joins (text, position, id) rows to the vocabulary and
 aggregates bytes in order of position.
 
-If every token of the vocabulary encodes to itself, as in trained ones (it is tried out once), a step
-contracts all pairs of a word's minimum rank m, from the left. That is the same: a contraction could
-only come between them if it made a pair of a lower rank, of tokens x and t, say. All pairs below m are
-contracted by now, so the bytes of xt, alone, would have stayed two tokens at its rank, and xt would not
-encode to itself. So a long word takes as many steps as it has ranks. For other vocabularies, a step
-contracts the leftmost pair alone.
+If every token's bytes become two tokens by merges of lower ranks than its own, as in trained
+vocabularies (each is tried out, once), a step contracts all pairs of a word's minimum rank m, from the
+left. That is the same: something could only come between them if one made a new pair of a rank below m,
+of tokens x and t, say. But all pairs below m are contracted by now, and so xt would be one token already.
+So a long word takes as many steps as it has ranks. For other vocabularies, a step contracts the leftmost
+pair alone.
 
 Defined cases: null and empty texts have no ids; texts of any length are encoded whole, in slices
 for memory; repeated rows each get their result; an empty table gives an empty result; strings of
@@ -62,6 +62,20 @@ def _query(which: str) -> str:
     return _ENCODE.format(first=first, next=then)
 
 
+def _trained(ranks: dict[bytes, int]) -> bool:
+    """Whether the bytes of every token become two tokens by merges of lower ranks."""
+    for token, own in ranks.items():
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 1:
+            least, at = min((ranks.get(a + b, own), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if least >= own:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if len(token) > 1 and len(parts) != 2:
+            return False
+    return True
+
+
 def parse_ranks(data: bytes) -> dict[bytes, int]:
     """Ranks from lines of a base64 token and its rank."""
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
@@ -85,13 +99,8 @@ class ByteBPE:
         self.con.register("m_", merges)
         self.con.register("v_", vocab)
         self.con.execute("CREATE TABLE merges AS SELECT * FROM m_; CREATE TABLE vocab AS SELECT * FROM v_")
-        self.query = _query("k = 1")
-        if together is None:
-            tokens = list(ranks)
-            together = all(list(x) == [ranks[t]] for t, x in zip(tokens, self._merged(tokens), strict=True))
-        if together:
-            self.query = _query("n % 2 = 1")
-        self.together = together
+        self.together = _trained(ranks) if together is None else together
+        self.query = _query("n % 2 = 1" if self.together else "k = 1")
         self.units = Units(pattern, lambda words: flat(self.words([w.encode() for w in words])))
 
     def words(self, words: list[bytes]) -> list[list[int]]:
@@ -99,14 +108,6 @@ class ByteBPE:
         out: list = [self.ranks.get(w) for w in words]
         todo = [i for i, x in enumerate(out) if x is None and words[i]]
         out = [(x,) if x is not None else () for x in out]
-        for i, ids in zip(todo, self._merged([words[i] for i in todo]), strict=True):
-            out[i] = ids
-        return out
-
-    def _merged(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of words that are not empty, by the recursive query."""
-        out: list = [()] * len(words)
-        todo = range(len(words))
         at = 0
         while at < len(todo):
             end, size = at, 0
