@@ -25,8 +25,8 @@ class HashingEmbedder:
         used = words[: self.max_tokens]
         out = np.zeros(self.dim)
         for t, w in [(x, 1.0) for x in used] + [(f"{a} {b}", 0.5) for a, b in zip(used, used[1:])]:
-            h = int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big")
-            out[(h >> 1) % self.dim] += w if h & 1 else -w
+            h = hashlib.md5(t.encode(), usedforsecurity=False).digest()
+            out[int.from_bytes(h[3:] + h[:1], "big") % self.dim] += w if h[1] & 1 else -w
         norm = np.linalg.norm(out)
         return (out / norm if norm else out).astype(np.float32).tolist(), len(words) > self.max_tokens
 

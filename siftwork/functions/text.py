@@ -88,6 +88,11 @@ def line_of(content: Column, needle: Column) -> Column:
     return F.when(at > 0, F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).otherwise(F.lit(1))
 
 
+def result_line(kind: Column, start: Column, best: Column) -> Column:
+    """Line to open for a result: where its chunk starts, or in a whole file its best line; 1 if there is none."""
+    return F.when(is_code_chunk(kind), start).otherwise(F.coalesce(best, F.lit(1)))
+
+
 def line_sentences(line: Column) -> Column:
     """Pieces of a line, cut after . ! or ? at its end or before a space."""
     cut = F.split(F.regexp_replace(line, r"([.!?])( |\z)", "$1\u0001"), "\u0001")

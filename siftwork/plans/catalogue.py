@@ -142,12 +142,6 @@ def _embed(s, d):
     return read(s, d, "documents").select("doc_id", embed_udf(HashingEmbedder(64))(F.coalesce("text", F.lit(""))).alias("e")).select("doc_id", "e.embedding", "e.truncated")
 
 
-def _fuzzy(s, d):
-    ship(s)
-    names = read(s, d, "part").select(F.col("p_name").alias("name")).distinct()
-    return names.withColumn("score", rank.fuzzy("aelt")("name"))
-
-
 QUERIES = {
     "hybrid_search_question": _hybrid(), "hybrid_search_folder": _hybrid(PROSE_1), "hybrid_search_exclude": _hybrid(None, PROSE_1), "hybrid_search_both_filters": _hybrid(CODE, CODE + "/1"), "hybrid_custom_weights": _hybrid(weights=FLAT, as_question=False),
     "batch_topk_per_query": _batch,
@@ -173,9 +167,8 @@ QUERIES = {
     "row_count": lambda s, d: chunks(s, d).agg(F.count(F.lit(1)).alias("n")),
     "progress_sums": lambda s, d: chunks(s, d).groupBy(F.regexp_extract("path", r"\A/watched/([^/]*)/", 1).alias("folder")).agg(F.count(F.lit(1)).alias("total"), F.sum(F.col("truncated").cast("long")).alias("cut"), F.countDistinct("chunk_kind").alias("kinds")),
     "lockfile_filter": lambda s, d: read(s, d, "pages").select("page_id", text.file_name(F.coalesce("url", F.lit(""))).isin(LOCK_FILES).alias("skipped")),
-    "blank_filter": lambda s, d: read(s, d, "documents").filter(F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s", "")) > 0).select("doc_id"),
     "subsequence_match": lambda s, d: read(s, d, "part").select("p_partkey", F.lower("p_name").rlike("(?s)a.*e.*l.*t").alias("fits")),
-    "fuzzy_filename": _fuzzy, "chunk_languages": _chunk_languages, "embed_documents": _embed,
+    "chunk_languages": _chunk_languages, "embed_documents": _embed,
 }
 
 _BASE = f"""WITH nv AS (SELECT count(*) AS n FROM embeddings),
@@ -235,6 +228,5 @@ SQL = {
     "row_count": _BASE + " SELECT count(*) AS n FROM chunks",
     "progress_sums": _BASE + " SELECT split_part(path, '/', 3) AS folder, count(*) AS total, 0::BIGINT AS cut, count(DISTINCT chunk_kind) AS kinds FROM chunks GROUP BY 1",
     "lockfile_filter": f"SELECT page_id, regexp_extract(coalesce(url, ''), '[^/]*$') IN ({', '.join(repr(x) for x in LOCK_FILES)}) AS skipped FROM pages",
-    "blank_filter": r"SELECT doc_id FROM documents WHERE length(regexp_replace(coalesce(text, ''), '\s', '', 'g')) > 0",
     "subsequence_match": "SELECT p_partkey, regexp_matches(lower(p_name), 'a.*e.*l.*t', 's') AS fits FROM part",
 }
