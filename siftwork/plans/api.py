@@ -13,10 +13,16 @@ from ..functions.embed import embed_udf
 from ..operators import search
 from ..operators.store import ChunkStore
 
-#: Models that can be chosen, all of 384 dimensions in their published form, and the default number of characters.
+#: Characters of a content that a result shows, if nothing else is asked for.
 MAX_CHARS = 1500
 
 
+def default_paths(home: str | None = None) -> dict[str, str]:
+    """Where the store, the streams' checkpoints and the settings lie unless others are given."""
+    top = os.path.join(home or os.path.expanduser("~"), ".siftwork")
+    return {"store": f"file://{top}/index", "checkpoints": f"file://{top}/checkpoints", "settings": f"{top}/settings.json"}
+
+
 class Settings:
     """JSON settings, read and written field by field; a field that cannot be read has its default."""
 
@@ -114,6 +120,14 @@ class Engine:
         score = lambda x: sum(a * b for a, b in zip(self.embedder.embed(x)[0], target))
         return max(lines, key=lambda x: (score(x[1]), -x[0]))[0] if lines else 1
 
+    def find_line_in(self, path: str, query: str) -> int:
+        """find_line on the file as it is now; 1 if it cannot be read."""
+        try:
+            with open(path, encoding="utf-8") as f:
+                return self.find_line(f.read(), query)
+        except (OSError, ValueError):
+            return 1
+
 
 def preview(path: str, start_line: int, end_line: int) -> str:
     """Lines of the file as it is now, clamped."""

@@ -6,6 +6,7 @@ import fnmatch
 import json
 import os
 import re
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from ..functions.text import is_blank
 LOCK_FILES = ["Cargo.lock", "package-lock.json", "pnpm-lock.yaml", "yarn.lock", "bun.lock", "bun.lockb", "poetry.lock", "Pipfile.lock", "composer.lock", "Gemfile.lock", "go.sum"]
 BROAD_FOLDERS = ["/Users", "/System", "/Library", "/Applications", "/Volumes"]
 MAX_FILES = 2000
+COUNT_SECONDS = 3.0
 SUGGESTIONS = 15
 # End of fixed values.
 
@@ -112,13 +114,15 @@ def walk(root: str, start: str | None = None, deep: bool = True):
                 yield e.path, s.st_mtime_ns, s.st_size
 
 
-def count_files(root: str, cap: int = MAX_FILES) -> int:
-    """Files under a root, counted up to cap + 1."""
-    n = 0
+def count_files(root: str, cap: int = MAX_FILES, seconds: float = COUNT_SECONDS) -> int:
+    """Files under a root, counted up to cap + 1; TimeoutError if that takes too long."""
+    n, until = 0, time.monotonic() + seconds
     for _ in walk(root):
         n += 1
         if n > cap:
             break
+        if time.monotonic() > until:
+            raise TimeoutError(f"{root} takes more than {seconds} seconds to count")
     return n
 
 
@@ -179,7 +183,7 @@ class _FolderStream(SimpleDataSourceStreamReader):
 
 
 def read_texts(files: DataFrame) -> DataFrame:
-    """files (path, ...) with `content`: strict UTF-8 text that is not blank; null otherwise."""
+    """files (path, ...) with `content`, strict UTF-8 text that is not blank, or null and the `problem`."""
 
     def load(batches):
         import pyarrow as pa
@@ -197,7 +201,8 @@ def read_texts(files: DataFrame) -> DataFrame:
     kinds = ", ".join(f"{n} {t}" for n, t in files.dtypes)
     raw = files.mapInArrow(load, f"{kinds}, raw binary")
     text = F.when(F.is_valid_utf8(F.col("raw").cast("string")), F.decode("raw", "UTF-8"))
-    return raw.withColumn("content", F.when(~is_blank(text), text)).drop("raw")
+    problem = F.when(F.col("raw").isNull(), "cannot be read").when(text.isNull(), "is not UTF-8 text").when(is_blank(text), "has no text")
+    return raw.withColumn("content", F.when(~is_blank(text), text)).withColumn("problem", problem).drop("raw")
 
 
 def suggestions(partial: str) -> list[str]:

@@ -1,6 +1,7 @@
 import json
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +47,7 @@ def test_scan_search_and_purge(spark, tree, engine, tmp_path):
     store, watch = engine
     state = watch.scan(str(tree))
     assert state["failed_count"] == 2 and state["indexed"] == 3
+    assert [(os.path.basename(x["path"]), x["problem"]) for x in state["failed"]] == [("bad.txt", "is not UTF-8 text"), ("blank.txt", "has no text")]
     e = Engine(store, HashingEmbedder(64), Settings(f"{tmp_path}/settings.json"))
     got = json.loads(e.tool_search("parse_header", top_k=2))
     assert len(got["results"]) == 2 and got["results"][0]["path"].endswith(("a.rs", "b.md")) and got["citations"] == []
@@ -82,6 +84,20 @@ def test_stream_edits_and_deletes(spark, tree, engine):
     assert store.row_count() == 0
 
 
+def test_watched_folders_outlive_the_process(spark, tree, tmp_path):
+    settings = Settings(f"{tmp_path}/s.json")
+    store = ChunkStore(spark, f"file://{tmp_path}/kept")
+    Watcher(spark, store, HashingEmbedder(64), f"file://{tmp_path}/cp", settings=settings).scan(str(tree))
+    later = Watcher(spark, store, HashingEmbedder(64), f"file://{tmp_path}/cp", settings=settings)
+    assert later.watched() == [os.path.realpath(tree)]
+    later.use_model(HashingEmbedder(32))
+    assert {r.model for r in store.read().select("model").collect()} == {"hashing-32"} and settings.get("embedding_model") == "hashing-32"
+    settings.set("watched_folders", [str(tmp_path / "gone")])
+    assert list(Watcher(spark, store, HashingEmbedder(64), f"file://{tmp_path}/cp", settings=settings).resume()) == [str(tmp_path / "gone")]
+    later.stop(str(tree))
+    assert store.row_count() == 0
+
+
 def test_old_tables_are_backfilled(spark, engine):
     store, _ = engine
     old = spark.createDataFrame([("/f/a", 1, 2, "file", "x", [0.5])], "path string, start_line int, end_line int, chunk_kind string, content string, embedding array<float>")
@@ -111,3 +127,51 @@ def test_settings_and_preview(tmp_path):
     assert s.get("embedding_model") == "m" and s.weights() == rank.RankingWeights()
     (tmp_path / "f").write_text("a\nb\nc")
     assert preview(f"{tmp_path}/f", 2, 9) == "b\nc" and preview(f"{tmp_path}/f", 9, 10) == ""
+
+
+def test_terms_on_the_driver_are_those_of_the_column(spark):
+    texts = ["हिन्दी भाषा", "fooBar_baz-Qux", "ça va ² ½ ab", "İstanbul ΣΑΣ", "naïve café", "", "日本語 テキスト", "a\u0301bc x\u00adyz"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.query_terms(F.col("t")).alias("x")).collect()
+    assert [text.terms(r.t) for r in got] == [r.x for r in got]
+
+
+def test_helpers(tree, tmp_path):
+    from siftwork.functions import embed
+    from siftwork.plans.api import default_paths
+
+    assert source.suggestions(f"{tree}/O") == [f"{tree}/out"] and source.suggestions("/nowhere/x") == []
+    with pytest.raises(TimeoutError):
+        source.count_files(str(tree), seconds=-1)
+    assert default_paths("/h")["settings"] == "/h/.siftwork/settings.json"
+    e = Engine(None, HashingEmbedder(64))
+    assert e.find_line_in(str(tree / "b.md"), "what does the parse header function read") == 2 and e.find_line_in(str(tmp_path / "none"), "x") == 1
+    got = embed.pooled(np.array([[[3.0, 0.0], [0.0, 3.0], [9.0, 9.0]], [[0.0, 2.0], [5.0, 5.0], [5.0, 5.0]]]), np.array([[1, 1, 0], [1, 0, 0]]))
+    assert np.allclose(got, [[0.5**0.5, 0.5**0.5], [0, 1]])
+
+
+def test_masked_batches(monkeypatch):
+    """Batches of texts of several lengths give the vectors of each text alone."""
+    from siftwork.functions import embed
+
+    class Session:
+        def get_inputs(self):
+            return [type("I", (), {"name": n}) for n in ("input_ids", "attention_mask", "token_type_ids")]
+
+        def run(self, _, feed):
+            ids = feed["input_ids"]
+            return [np.stack([ids + 1.0, ids**2.0], axis=2)]
+
+    class Words:
+        def encode_batch(self, texts):
+            return [type("E", (), {"ids": [len(w) for w in t.split()]}) for t in texts]
+
+    e = embed.OnnxEmbedder("/m", max_tokens=3, batch=2)
+    e._loaded = (Session(), Words())
+    texts = ["a", "", "bb a ccc dd", "a bb", None]
+    assert e.embed_many(texts) == [e.embed(t) for t in texts] and [x for _, x in e.embed_many(texts)] == [False, False, True, False, False]
+
+
+def test_editor_links(spark):
+    from siftwork.plans.api import editor_link
+
+    assert spark.range(1).select(editor_link("x://{path}:{line}", F.lit("/a b"), F.lit(7)).alias("l")).first().l == "x:///a b:7"
