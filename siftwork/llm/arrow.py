@@ -8,6 +8,14 @@ import numpy as np
 import pyarrow as pa
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """A column name that is not taken."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def sliced(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most `limit` bytes in `column`, or one row."""
     col = batch.column(column)

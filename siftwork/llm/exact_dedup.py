@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Scratch, read, ship
-from .arrow import raw_values
+from .arrow import free_name, raw_values
 from .bloom import bits_for, build, load, may_hold
 
 CHUNK = 1024
@@ -251,9 +251,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     repeated = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
     if not repeated:
         return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep_id"]), "left_semi")
-    marked = docs.withColumn("_sha", F.sha2(squeezed(text_of("text")).cast("binary"), 256))
-    found = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_keep_id"]) & (marked["_sha"] == kept["_keep_sha"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    sha = free_name(docs.columns, "_sha")
+    marked = docs.withColumn(sha, F.sha2(squeezed(text_of("text")).cast("binary"), 256))
+    found = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_keep_id"]) & (marked[sha] == kept["_keep_sha"]), "left_semi")
+    return found.dropDuplicates(["doc_id", sha]).drop(sha)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Scratch, read, ship
-from .arrow import mix, sliced, texts
+from .arrow import free_name, mix, sliced, texts
 from .bloom import bits_for, build, load, may_hold
 from .components import components
 from .fragments import Parts, cuts, differ, map_bits, parity, partial, ranges
@@ -364,16 +364,17 @@ def one_of_each(spark: SparkSession, docs: DataFrame, width: int = WIDTH, percen
     members = shown.filter("n > 0").select("doc_id", "cid", "mark").join(named, "cid").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), stays.alias("stays"))
     # A component's rows that stay are equal in (doc_id, hash); `copies` tells whether there are several.
     counted = work.table(members.groupBy("_id", "_mark", "stays").agg(F.count(F.lit(1)).alias("copies")), "members")
-    marked = docs.withColumn("_sha", sha)
+    own = free_name(docs.columns, "_sha")
+    marked = docs.withColumn(own, F.coalesce(sha, F.lit("")))
 
     def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-        return left.join(right, left["doc_id"].eqNullSafe(right["_id"]) & (left["_sha"] == right["_mark"]), how)
+        return left.join(right, left["doc_id"].eqNullSafe(right["_id"]) & (left[own] == right["_mark"]), how)
 
     kept = joined(marked, counted.filter("NOT stays").select("_id", "_mark"), "left_anti")
     several = counted.filter("stays AND copies > 1").select("_id", "_mark")
     if several.limit(1).count():
-        kept = joined(kept, several, "left_anti").unionByName(joined(kept, several, "left_semi").dropDuplicates(["doc_id", "_sha"]))
-    return kept.drop("_sha")
+        kept = joined(kept, several, "left_anti").unionByName(joined(kept, several, "left_semi").dropDuplicates(["doc_id", own]))
+    return kept.drop(own)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
