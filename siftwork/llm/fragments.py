@@ -23,7 +23,7 @@ import numpy as np
 from .arrow import mix
 
 #: z as a share of H + 1, by level.
-SLACK = (0.5, 1.0, 2.0)
+SLACK = (0.25, 0.5, 1.0, 2.0)
 _LARGEST = 1 << 36
 
 

@@ -78,7 +78,7 @@ def _shown(width: int, percent: int):
 
 
 def _repeated(packed: bytes):
-    """Rows (sig, cid, n, part, own, need) of signatures that the filter holds."""
+    """Rows (sig, cid, n, part, own, need) of signatures that the filter holds, of parts with as many as they need."""
 
     def run(batches):
         words = load(packed)
@@ -90,6 +90,8 @@ def _repeated(packed: bytes):
             hit = np.flatnonzero(may_hold(words, flat))
             sizes, counts = np.diff(np.asarray(sigs.offsets)), np.diff(np.asarray(parts.offsets))
             part = np.repeat(np.arange(len(sizes)), sizes)[hit]
+            enough = np.bincount(part, minlength=len(sizes)) >= np.asarray(fields.field("need"))
+            hit, part = hit[enough[part]], part[enough[part]]
             row = np.repeat(np.arange(b.num_rows), counts)
             number = ranges(np.zeros(len(counts), np.int64), counts)
             of = pa.array(row[part])
@@ -282,7 +284,7 @@ def _groups(work: Scratch, shown: DataFrame) -> DataFrame:
     repeated = work.table(every.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("sig"), "repeated")
     known = build(repeated, "sig", bits_for(repeated.count()))
     rows = shown.select("cid", "n", "parts").mapInArrow(_repeated(known), "sig long, cid long, n long, part int, own boolean, need int").distinct()
-    rows = work.table(rows.join(repeated, "sig", "left_semi"), "rows")
+    rows = work.table(rows, "rows")
     counts = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.max("own").alias("any")).filter("m > 1 AND any").select("sig", "m")
     own = rows.join(counts, "sig").groupBy("cid", "n", "part", "own", "need").agg(F.sort_array(F.collect_list(F.struct("m", "sig"))).alias("list")).filter("size(list) >= need")
     own = own.select("cid", "n", "own", F.expr("aggregate(list, 0L, (a, x) -> a + x.m)").alias("w"), F.explode(F.expr("slice(list, 1, size(list) - need + 1)")).alias("x"))
