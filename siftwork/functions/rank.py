@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -30,6 +32,27 @@ def dot(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | F.isnan(total) | (total < 0), 0.0).otherwise(F.coalesce(total, F.lit(0.0)))
 
 
+def similarity(embedding: Column, values) -> Column:
+    """dot() with one vector for all rows: a matrix product on Arrow batches."""
+    query = np.asarray(values, np.float64)
+
+    @F.arrow_udf(DoubleType())
+    def run(vectors: pa.Array) -> pa.Array:
+        lists = vectors.fill_null([])
+        off = np.asarray(lists.offsets)
+        fits = np.diff(off) == len(query)
+        flat = np.asarray(lists.flatten().cast(pa.float64()).fill_null(np.nan))
+        off = off - off[0]
+        x = flat.reshape(-1, len(query)) if fits.all() and len(query) else flat[off[:-1][fits][:, None] + np.arange(len(query))]
+        out = np.zeros(len(lists))
+        with np.errstate(all="ignore"):
+            found = x @ query if len(query) else np.zeros(len(x))
+        out[fits] = np.where(found > 0, found, 0.0)
+        return pa.array(out)
+
+    return run(embedding)
+
+
 def vector(values) -> Column:
     return F.array(*[F.lit(float(x)) for x in values]) if len(values) else F.array().cast("array<double>")
 

@@ -47,7 +47,7 @@ def hybrid_search(chunks: DataFrame, query: str, vector: list[float], k: int, fo
         fuzzy = F.coalesce("_fuzzy", F.lit(0.0))
     elif not asked:
         fuzzy = F.lit(0.0)
-    score = rank.hybrid(rank.dot(F.col("embedding"), rank.vector(vector)), fuzzy, rank.overlap(query, F.col("content")), weights)
+    score = rank.hybrid(rank.similarity(F.col("embedding"), vector), fuzzy, rank.overlap(query, F.col("content")), weights)
     return top(chunks.withColumn("score", score), k).select(*HIT, "chunk_ord")
 
 
@@ -72,11 +72,11 @@ def chunk_embedding(chunks: DataFrame, path: str, start_line: int) -> list[float
 
 
 def find_similar(chunks: DataFrame, path: str, start_line: int, k: int, folder: str | None = None, code_only: bool = False) -> DataFrame:
-    target = rank.vector(chunk_embedding(chunks, path, start_line))
+    target = chunk_embedding(chunks, path, start_line)
     others = scoped(chunks, folder).filter(~((F.col("path") == path) & (F.col("start_line") == start_line)))
     if code_only:
         others = others.filter(text.is_code_chunk(F.col("chunk_kind")))
-    return top(others.withColumn("score", rank.dot(F.col("embedding"), target)), k).select(*HIT, "chunk_ord")
+    return top(others.withColumn("score", rank.similarity(F.col("embedding"), target)), k).select(*HIT, "chunk_ord")
 
 
 def drift_hits(chunks: DataFrame, path: str, start_line: int, k: int = 5, folder: str | None = None) -> DataFrame:
@@ -168,7 +168,7 @@ def best_sentences(hits: DataFrame, query_vector: list[float], embed) -> DataFra
     embed: a column function from text to a vector.
     """
     each = hits.select("*", F.posexplode(text.sentences(F.col("content"))).alias("_i", "snippet"))
-    scored = each.withColumn("_s", rank.dot(embed(F.col("snippet")), rank.vector(query_vector)))
+    scored = each.withColumn("_s", rank.similarity(embed(F.col("snippet")), query_vector))
     by = Window.partitionBy(*TIES).orderBy(F.desc("_s"), "_i")
     return scored.withColumn("_n", F.row_number().over(by)).filter("_n = 1").drop("_n", "_s", "_i")
 

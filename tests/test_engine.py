@@ -175,3 +175,11 @@ def test_editor_links(spark):
     from siftwork.plans.api import editor_link
 
     assert spark.range(1).select(editor_link("x://{path}:{line}", F.lit("/a b"), F.lit(7)).alias("l")).first().l == "x:///a b:7"
+
+
+def test_similarity_is_dot(spark):
+    rows = [([1.0, 2.0],), ([-1.0, 0.0],), ([1.0],), (None,), ([],), ([float("nan"), 1.0],), ([0.5, None],)]
+    df = spark.createDataFrame(rows, "e array<float>")
+    for q in ([1.0, 0.5], []):
+        got = df.select(rank.similarity(F.col("e"), q).alias("a"), F.coalesce(rank.dot(F.col("e"), rank.vector(q)), F.lit(0.0)).alias("b")).collect()
+        assert [r.a for r in got] == [r.b for r in got]
