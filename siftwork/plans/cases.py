@@ -38,6 +38,11 @@ FILES = [
     ("/x/a.swift", ["import F", "class A {", "  func a() {}", "}", "protocol P { func q() }"], [(1, 3, "file", ""), (3, 3, "function", "a"), (5, 5, "interface", "P")]),
     ("/x/a.cs", ["class A {}", ""], [(1, 2, "file", "")]),
 ]
+#: First line, mark of a comment, and last line of a file with one function, by extension.
+WRAPPERS = {
+    "rs": ("fn f() {", "//", "}"), "py": ("def f():", "#", "    pass"), "js": ("function f() {", "//", "}"), "ts": ("function f(): void {", "//", "}"), "go": ("func f() {", "//", "}"), "java": ("void f() {", "//", "}"),
+    "c": ("void f(void) {", "//", "}"), "cpp": ("void f() {", "//", "}"), "rb": ("def f", "#", "end"), "swift": ("func f() {", "//", "}"), "md": ("# f", "", "end"),
+}
 FUZZY = "aelt"
 
 
@@ -47,6 +52,29 @@ def _chunks(s: SparkSession, d: str) -> DataFrame:
     return chunkers.chunk_files(files).select("path", "chunk_ord", "start_line", "end_line", "chunk_kind", "name")
 
 
+def _languages(s: SparkSession, d: str) -> DataFrame:
+    """Every document as the comment in a function, in each language by turns of doc_id."""
+    ship(s)
+    docs = read(s, d, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x09\x0B-\x1F]", " ").alias("t"))
+    place = (F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(len(WRAPPERS))) + 1).cast("int")
+    part = lambda of: F.element_at(F.array(*[F.lit(x) for x in of]), place)
+    first, mark, last = (part([w[i] for w in WRAPPERS.values()]) for i in range(3))
+    content = F.concat(first, F.lit("\n"), mark, F.replace("t", F.lit("\n"), F.concat(F.lit("\n"), mark)), F.lit("\n"), last)
+    path = F.concat(F.lit("/x/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit("."), part(list(WRAPPERS)))
+    got = chunkers.chunk_files(docs.select(path.alias("path"), content.alias("content")))
+    return got.select("path", "chunk_ord", "start_line", "end_line", "chunk_kind", "name", F.md5(F.col("content").cast("binary")).alias("md5"))
+
+
+def _languages_sql() -> str:
+    rows = ", ".join(f"({i}, {_literal(e)}, {_literal(a)}, {_literal(m)}, {_literal(z)})" for i, (e, (a, m, z)) in enumerate(WRAPPERS.items()))
+    text = f"WITH w(i, ext, a, m, z) AS (VALUES {rows}), d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x00-\x09\x0B-\x1F]', ' ', 'g') AS t FROM documents)"
+    return text + (
+        " SELECT '/x/' || coalesce(doc_id::VARCHAR, 'none') || '.' || ext AS path, 0 AS chunk_ord, 1 AS start_line, (3 + length(t) - length(replace(t, chr(10), '')))::INT AS end_line,"
+        " CASE WHEN ext = 'md' THEN 'file' ELSE 'function' END AS chunk_kind, CASE WHEN ext = 'md' THEN '' ELSE 'f' END AS name, md5(a || chr(10) || m || replace(t, chr(10), chr(10) || m) || chr(10) || z) AS md5"
+        f" FROM d JOIN w ON coalesce(doc_id, 0) % {len(WRAPPERS)} = i"
+    )
+
+
 def _literal(x) -> str:
     return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
 
@@ -130,14 +158,14 @@ def _progress(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "chunk_cases": _chunks, "hybrid_default_weights": _hybrid, "embedding_sums": _embedded, "store_round_trip": _stored, "folder_listing": _listed, "index_progress": _progress,
+    "chunk_cases": _chunks, "chunk_languages": _languages, "hybrid_default_weights": _hybrid, "embedding_sums": _embedded, "store_round_trip": _stored, "folder_listing": _listed, "index_progress": _progress,
     "store_row_count": lambda s, d: s.createDataFrame([(_store(s, d)[0].row_count(),)], "n long"),
     "fuzzy_filename": lambda s, d: (ship(s), read(s, d, "part").select(F.col("p_name").alias("name")).distinct().withColumn("score", F.round(rank.fuzzy(FUZZY)("name"), 6)))[1],
     "blank_filter": lambda s, d: read(s, d, "documents").filter(~text.is_blank(F.coalesce("text", F.lit("")))).select("doc_id"),
     "result_lines": lambda s, d: catalogue.chunks(s, d).select("path", text.result_line(F.col("chunk_kind"), F.col("start_line") + 4, F.when(F.col("mtime") % 2 == 0, F.lit(9))).alias("line")),
 }
 SQL = {
-    "chunk_cases": _chunks_sql(),
+    "chunk_cases": _chunks_sql(), "chunk_languages": _languages_sql(),
     "hybrid_default_weights": catalogue._BASE + ", " + _fuzzy_sql("SELECT DISTINCT regexp_extract(path, '[^/]*$') AS name FROM chunks", "md") + f", z AS (SELECT s.path, s.start_line, 0.55 * sem + 0.30 * (raw / (raw + 50.0)) AS score FROM s JOIN f ON regexp_extract(s.path, '[^/]*$') = f.name) SELECT path, start_line, round(score, 6) AS score FROM (SELECT * FROM z ORDER BY score DESC, path LIMIT {catalogue.K})",
     "embedding_sums": _EMBED_SQL,
     "store_round_trip": f"WITH c AS (SELECT '{catalogue.CODE}/' || label || '/' || vec_id || '.rs' AS path, vec_id, label, len(embedding)::INT AS dim FROM embeddings) SELECT path, CASE WHEN label = 1 THEN 'new' ELSE 'fn fn_' || vec_id || '() {{ the one }}' END AS content, CASE WHEN label = 1 THEN 'fn_' || vec_id ELSE '' END AS name, CASE WHEN label = 1 THEN vec_id ELSE 0 END AS mtime, dim FROM c WHERE label <> 2 AND (label <> 1 OR vec_id % 2 = 0)",
