@@ -10,7 +10,10 @@ A turn reads "<|role|>\\ntext<|end|>\\n", where role is assistant, system, or us
 Defined cases:
 - a null role is a participant without a name (""); a null text is empty; turns with a null number
   come in a part of their own (-1), before the others.
-- turns of one number are ordered by role and text; repeated rows are repeated turns.
+- turns of one number are ordered by role and text; repeated rows are repeated turns. All turns of one
+  number are in one part, whatever their count.
+- texts are not escaped: one that holds a marker looks like a turn, but only the mask tells which words
+  are the assistant's.
 - rows with a null conv_id are one conversation. A conversation of system turns alone has no
   participant and no row. An empty table gives an empty result. Other columns are not read.
 """
