@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import byte_bpe, chat, exact_dedup, jaccard, line_dedup, packing, quality, topk, url_filter, warc
+from . import byte_bpe, chat, clusters, exact_dedup, jaccard, line_dedup, minhash, packing, quality, spelling, topk, url_filter, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -17,6 +17,9 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_topk_search": topk.op10_topk_search,
+    "op11_centroid_clusters": clusters.op11_centroid_clusters,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_minhash_dedup": minhash.op13_minhash_dedup,
     "pipeline": corpus_pipeline.run,
 }
 SQL = {
@@ -27,4 +30,7 @@ SQL = {
     "op8_url_filter": url_filter.ORACLE_SQL,
     "op9_jaccard_join": jaccard.ORACLE_SQL,
     "op10_topk_search": topk.ORACLE_SQL,
+    "op11_centroid_clusters": clusters.ORACLE_SQL,
+    "op12_spelling_variants": spelling.ORACLE_SQL,
+    "op13_minhash_dedup": minhash.ORACLE_SQL,
 }
