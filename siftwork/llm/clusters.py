@@ -255,8 +255,7 @@ def cluster(spark: SparkSession, vectors: DataFrame, k: int = CENTROIDS, rounds:
         return spark.createDataFrame([], "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string")
     c = np.array([r.x for r in start], np.int64).reshape(len(start), dim)
     k = len(c)
-    few, many = max(1, -(-k // 8)), max(1, k // 4)
-    b = min(many, max(1, k - 1))
+    few, b = min(k - 1, -(-k // 8)), min(k - 1, max(1, k // 4))
     state = work.table(kept.mapInArrow(_begin(c, b), STATE), "state")
     work.drop(kept)
     for _ in range(rounds):

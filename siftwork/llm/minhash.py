@@ -63,14 +63,14 @@ def minima(every: list[np.ndarray]) -> np.ndarray:
     n = np.array([len(x) for x in every], np.int64)
     flat = np.concatenate([*every, np.empty(0, np.uint64)])
     of = np.repeat(np.arange(len(every)), n)
-    out = np.full((len(every), K), np.iinfo(np.uint64).max, np.uint64)
+    out = np.full((K, len(every)), np.iinfo(np.uint64).max, np.uint64)
     for low in range(0, len(flat), BLOCK):
         x, row = flat[low : low + BLOCK], of[low : low + BLOCK]
         starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
         docs = row[starts]
         for k in range(K):
-            out[docs, k] = np.minimum(out[docs, k], np.minimum.reduceat(x * _FACTOR[k] + _SHIFT[k], starts))
-    return out
+            out[k, docs] = np.minimum(out[k, docs], np.minimum.reduceat(x * _FACTOR[k] + _SHIFT[k], starts))
+    return np.ascontiguousarray(out.T)
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
