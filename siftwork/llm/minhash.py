@@ -41,12 +41,14 @@ from .words import SLICE, sets
 
 WIDTH, PERCENT = 5, 80
 #: Minima of a band, bands, and bits kept of each minimum.
-BAND, BANDS, BITS = 5, 64, 2
+BAND, BANDS, BITS = 5, 64, 4
 K = BAND * BANDS
 #: Standard deviations that an estimate may lie below the least similarity.
-SIGMAS = 6.0
-#: Shingles hashed at once; hubs of a large group in turns after the first.
-BLOCK, HUBS = 1 << 15, 256
+SIGMAS = 5.5
+#: Shingles hashed at once.
+BLOCK = 1 << 15
+#: Hubs of a group in turns after the first one: few at first, as sets that these link need not meet others.
+HUBS = (4, 16, 256)
 
 _DRAW = random.Random(13)
 _FACTOR = np.array([_DRAW.getrandbits(64) | 1 for _ in range(K)], np.uint64)
@@ -247,7 +249,7 @@ def _groups(work: Scratch, shown: DataFrame) -> DataFrame:
     return out
 
 
-def minhash_components(spark: SparkSession, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, hubs: int = HUBS) -> DataFrame:
+def minhash_components(spark: SparkSession, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, hubs: tuple[int, ...] = HUBS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row: links are 100 * intersection >= percent * union."""
     ship(spark)
     work = Scratch(spark, "minhash")
@@ -270,7 +272,7 @@ def minhash_components(spark: SparkSession, docs: DataFrame, width: int = WIDTH,
         if not live.limit(1).count():
             break
         if turn:
-            chosen, pairs = _later_pairs(live, bits, turn, percent, hubs)
+            chosen, pairs = _later_pairs(live, bits, turn, percent, hubs[min(turn, len(hubs)) - 1])
             pairs = work.table(pairs.join(tested, ["hub", "cid"], "left_anti"), "pairs")
             live = live.join(chosen, ["sig", "cid"], "left_anti")
         else:
