@@ -1,7 +1,8 @@
 """Chunkers: source text to chunks at functions and types.
 
-Python uses ast. Other languages share a lexer that blanks strings and comments and a finder of
-declarations, whose bodies are matched by braces or `end`. A container that holds another
+Python uses ast. Other languages are read as tokens (lexer.py) by a stack of open brackets, or of what waits for
+an `end`; each holds the statement so far, and where a body opens or a statement ends, its tokens tell
+whether it is a declaration. A container that holds another
 declaration gives way to it, nested functions fold into the outer one, non-blank text before the
 first chunk is a `file` chunk, and text between and after chunks is not indexed. Anything without a
 declaration, or that cannot be parsed, is one `file` chunk.
@@ -17,6 +18,8 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from . import lexer
+
 #: Languages by extension, case-sensitive (fixed values).
 EXTENSIONS = {
     "rs": "rust", "py": "python", "js": "js", "jsx": "js", "mjs": "js", "cjs": "js", "ts": "ts", "mts": "ts", "cts": "ts", "tsx": "ts",
@@ -43,100 +46,161 @@ class Chunk:
     name: str = ""
 
 
-# Head of a declaration at the start of a line (after blanks); group "n" is its name.
-_MOD = r"(?:(?:pub(?:\([^)]*\))?|async|unsafe|const|extern|default)\s+)*"
-_JAVA = r"(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp|sealed|@\w+(?:\([^)]*\))?)\s+)*"
-_SWIFT = r"(?:(?:public|private|fileprivate|internal|open|static|final|override|mutating|convenience|required|indirect|@\w+)\s+)*"
-_JS = r"(?:export\s+)?(?:default\s+)?"
-_HEADS = {
-    "rust": [("function", _MOD + r"fn\s+(?P<n>\w+)"), ("impl", r"(?:unsafe\s+)?impl\b")],
-    "js": [("function", _JS + r"(?:async\s+)?function\b\s*\*?\s*(?P<n>\w*)"), ("class", _JS + r"class\b(?:\s+(?!extends\b|implements\b)(?P<n>\w+))?"),
-           ("function", r"(?:export\s+)?(?:const|let|var)\s+(?P<n>\w+)[^=\n]*=\s*(?:async\s*)?(?:function\b|\([^()]*\)[^=\n{]*=>|\w+\s*=>)"), ("method", r"(?:(?:static|async|get|set)\s+)*\*?(?P<n>[#\w$]+)\s*\([^;{}]*\)[^;{}=]*(?=\{)")],
-    "go": [("function", r"func\s+(?:\([^)]*\)\s*)?(?P<n>\w+)"), ("type", r"type\s+(?P<n>\w+)")],
-    "java": [("class", _JAVA + r"class\s+(?P<n>\w+)"), ("interface", _JAVA + r"@?interface\s+(?P<n>\w+)"), ("enum", _JAVA + r"enum\s+(?P<n>\w+)"), ("method", _JAVA + r"(?:<[^>]*>\s*)?(?:[\w.<>\[\],?]+\s+)*(?P<n>\w+)\s*\([^;{}]*\)[^;{}=]*(?=\{)")],
-    "swift": [("function", _SWIFT + r"func\s+(?P<n>\w+)"), ("class", _SWIFT + r"(?:class|struct|enum|extension|actor)\s+(?P<n>\w+)"), ("interface", _SWIFT + r"protocol\s+(?P<n>\w+)"), ("function", _SWIFT + r"(?:init[?!]?\s*[(<]|deinit\b)")],
-}
-_HEADS["ts"] = [*_HEADS["js"], ("interface", r"(?:export\s+)?(?:declare\s+)?interface\s+(?P<n>\w+)")]
-_HEADS["ts"][1] = ("class", _JS + r"(?:abstract\s+)?class\b(?:\s+(?!extends\b|implements\b)(?P<n>\w+))?")
 #: For C and C++, what stands between the last ; { or } and an opening brace.
 _C_TYPE = {"c": re.compile(r"(?:typedef\s+|static\s+)*(?P<k>struct)\b\s*(?P<n>\w*)\s*\Z"), "cpp": re.compile(r"(?:typedef\s+|template\s*<[^{}]*>\s*)*(?P<k>struct|class)\b\s*(?P<n>\w*)[^()=]*\Z")}
-_C_SKIP = re.compile(r"(?:\s+|#(?:[^\n\\]|\\\n|\\)*|(?:public|private|protected)\s*:(?!:))+")
+_C_SKIP = re.compile(r"(?:\s+|(?:public|private|protected)\s*:(?!:))+")
 _C_RETURNS = re.compile(r"[\w*&:<>~,\s\[\]]*\Z")
 _C_NAME = re.compile(r"(?:operator\s*\S{1,3}|~?\w+)\Z")
-_COMPILED = {k: [(kind, re.compile(p)) for kind, p in v] for k, v in _HEADS.items()}
-_NOT_METHODS = {"if", "for", "while", "switch", "catch", "return", "else", "do", "synchronized", "function", "new", "try", "with"}
-_NO_METHOD = re.compile(r"(?:else|return|new|throw)\b")
-_BODY = {k: re.compile(r"[{\n]" if k == "go" else r"[{;]|\n\s*\n" if k in ("js", "ts") else r"[{;]") for k in _HEADS}
-_NOISE = re.compile(r'//[^\n]*|/\*.*?\*/|"""(?:\\.|[^\\])*?"""|"(?:\\.|[^"\\\n])*"|`(?:\\.|[^`\\])*`|\'(?:\\.|[^\'\\\n])\'|\'(?:\\.|[^\'\\\n])*\'', re.S)
-_RUST_NOISE = re.compile(r'//[^\n]*|/\*.*?\*/|r#*"(?:.*?)"#*|"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\\n])\'', re.S)
-
-
-def _blank(source: str, language: str) -> str:
-    """The source with strings and comments as spaces, of the same length."""
-    wipe = lambda m: re.sub(r"[^\n]", " ", m[0])
-    return (_RUST_NOISE if language == "rust" else _NOISE).sub(wipe, source)
-
-
-def _past_parentheses(code: str, at: int) -> int:
-    """Past the parameters that open at `at`, and the results if they are in parentheses; type parameters may come first."""
-    for _ in range(2):
-        while at < len(code) and code[at] in " \t":
-            at += 1
-        if at < len(code) and code[at] == "[":
-            at = code.find("]", at) + 1 or len(code)
-        if at >= len(code) or code[at] != "(":
-            break
-        depth = 0
-        for m in re.compile(r"[()]").finditer(code, at):
-            depth += 1 if m[0] == "(" else -1
-            if not depth:
-                at = m.end()
-                break
-        else:
-            raise ValueError("parentheses do not match")
-    return at
+
+# A declaration's head, as its tokens with a blank behind each; brackets with what they hold are one token. Group
+# "n" is its name. Heads end where a body opens (BODY) or where the statement ends (ENDED).
+_TYPED = r"(?:< .*> )?\(\) (?:: .*)?"
+_BODY: dict[str, list[tuple[str, str]]] = {
+    "rust": [("function", r"(?:pub (?:\(\) )?|async |unsafe |const |default |safe |extern (?:\" )?)*fn (?:r # )?(?P<n>\w+) (?:< .*> )?\(\) .*"), ("impl", r"(?:unsafe |default )*impl .*")],
+    "js": [("function", r"(?:async )?function (?:\* )?(?P<n>[\w$]*) ?" + _TYPED), ("class", r"(?:abstract )?class (?:(?!extends |implements )(?P<n>[\w$]+) )?.*"),
+           ("method", r"(?:(?:public|private|protected|static|async|get|set|override|readonly|accessor) )*(?:\* )?(?P<n>[\w$#]+|\"|\[\]) " + _TYPED)],
+    "go": [("function", r"func (?:\(\) )?(?P<n>\w+) (?:\[\] )?\(\) .*")],
+    "java": [("class", r"@MODS class (?P<n>\w+) .*"), ("interface", r"@MODS interface (?P<n>\w+) .*"), ("enum", r"@MODS enum (?P<n>\w+) .*"), ("method", r"@MODS (?!record \w+ (?:< .*> )?\(\) )(?:< [^()]*> )?(?:[\w.<>,?&@ ]|\[\])*?(?P<n>\w+) \(\) (?:\[\] )*(?:throws .*)?")],
+    "swift": [("function", r"@MODS func (?P<n>\w+|[^\w\s(]+(?: [^\w\s(]+)*) (?:< .*> )?\(\) .*"), ("function", r"@MODS init (?:[?!] )?(?:< .*> )?\(\) .*"), ("function", r"@MODS deinit "),
+              ("class", r"@MODS (?:class|struct|enum|extension|actor) (?P<n>\w+) .*"), ("interface", r"@MODS protocol (?P<n>\w+) .*")],
+}
+_BODY["ts"] = [*_BODY["js"], ("interface", r"interface (?P<n>[\w$]+) .*")]
+_ENDED: dict[str, list[tuple[str, str]]] = {"js": [("function", r"(?:const|let) (?P<n>[\w$]+) (?:: .*)?= (?:async )?(?:function .*|(?:(?:< .*> )?\(\) (?:: .*)?|[\w$]+ )=> .*)")], "go": [("type", r"type (?:(?P<n>\w+) .*|\(\) )")]}
+_ENDED["ts"] = _ENDED["js"]
+_MODS = {
+    "java": r"(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp|sealed|non - sealed|transient|volatile) |@ (?!interface )\w+ (?:\. \w+ )*(?:\(\) )?)*",
+    "swift": r"(?:(?:public|private|fileprivate|internal|open|package|static|class|final|override|mutating|nonmutating|convenience|required|indirect|nonisolated|isolated|prefix|postfix|infix|dynamic|distributed) (?:\(\) )?|@ \w+ (?:\(\) )?)*",
+}
 
 
-def _closing(code: str, at: int) -> int:
-    """End of the braces that open at `at`."""
-    depth = 0
-    for m in re.compile(r"[{}]").finditer(code, at):
-        depth += 1 if m[0] == "{" else -1
-        if not depth:
-            return m.end()
-    raise ValueError("braces do not match")
+def _compiled(heads: dict[str, list[tuple[str, str]]]) -> dict:
+    return {k: [(kind, re.compile(p.replace("@MODS ", _MODS.get(k, "")), re.S)) for kind, p in v] for k, v in heads.items()}
+
+
+_BODIES, _ENDS = _compiled(_BODY), _compiled(_ENDED)
+#: What stands before a declaration without being part of it.
+_AHEAD = {"js": re.compile(r"(?:(?:export|default|declare) |@ [\w$]+ (?:\. [\w$]+ )*(?:\(\) )?)+"), "rust": re.compile(r"(?:# (?:! )?\[\] )+")}
+_AHEAD["ts"] = _AHEAD["js"]
+_NOT_METHODS = {"if", "for", "while", "switch", "catch", "return", "else", "do", "synchronized", "function", "new", "try", "with", "throw", "case", "assert", "yield", "await", "typeof"}
+_NO_METHOD = re.compile(r"(?:else|return|new|throw)\b")
+#: A brace after one of these opens a value or a type, not a body.
+_VALUE = {
+    "js": {"=", "(", "[", ",", ":", "?", "&", "|", "+", "<", "!", "&&", "||", "==", "return", "typeof", "in", "of", "extends", "as", "satisfies", "default", "yield", "await", "export", "import", "from", "?? "},
+    "go": {"interface", "struct", "=", "(", ",", ":"}, "swift": {"=", "(", ",", ":", "return", "[", "&&", "||"}, "rust": set(), "java": {"=", "]", "[]", ","},
+}
+_VALUE["ts"] = _VALUE["js"]
+#: Words that do not end a statement, and words that do not begin one, where lines end statements.
+_GOES_ON = {"export", "default", "function", "class", "const", "let", "async", "static", "extends", "implements", "new", "typeof", "await", "abstract", "declare", "interface", "func", "type", "public", "private", "internal", "struct", "enum", "extension", "protocol", "where", "final", "override", "case", "in", "of", "=>"}
+_FOLLOWS = {"extends", "implements", "in", "of", "instanceof", "as", "satisfies", "where", "throws", "async", "rethrows", "else", "catch", "is"}
+_CLOSERS = {"(": ")", "[": "]", "{": "}"}
+#: Tokens of a head that are looked at.
+_HEAD = 200
+
+
+class _Frame:
+    """What is open: a bracket, its declaration if it is a body, and the statement so far."""
+
+    def __init__(self, opener: str, at: int, node: Node | None = None, value: bool = False):
+        self.opener, self.at, self.node, self.value = opener, at, node, value
+        self.head: list[tuple[str, int, int, str]] = []  # of a bracket also its first word
+        self.first = ""  # its first word
+
+
+def _judge(frame: _Frame, heads: list, language: str) -> Node | None:
+    """The declaration that a statement's head makes."""
+    head = frame.head[:_HEAD]
+    text = "".join(f"{t} " for t, *_ in head)
+    ahead = _AHEAD[language].match(text) if language in _AHEAD else None
+    skipped = text[: ahead.end()].count(" ") if ahead else 0
+    text = text[ahead.end() :] if ahead else text
+    for kind, pattern in heads:
+        m = pattern.fullmatch(text)
+        if not m or skipped >= len(head):
+            continue
+        name = (m.groupdict().get("n") or "").strip()
+        if kind == "method":
+            first = text.split(" ", 1)[0]
+            if name in _NOT_METHODS or first in _NOT_METHODS:
+                continue
+        return Node(head[skipped][1], 0, kind.replace("method", "function"), name)
+    return None
 
 
 def _braced(source: str, language: str) -> list[Node]:
-    code = _blank(source, language)
+    """Declarations by a stack of open brackets, each with the statement that it stands in."""
     out: list[Node] = []
-    for line in re.finditer(r"^[ \t]*(?=\S)", code, re.M):
-        at = line.end()
-        for kind, pattern in _COMPILED[language]:
-            m = pattern.match(code, at)
-            if not m:
-                continue
-            groups = m.groupdict()
-            name = groups.get("n") or groups.get("m") or ""
-            if kind == "method" and (name in _NOT_METHODS or _NO_METHOD.match(code, at)):
-                continue
-            # A signature may go on over lines while its parentheses are open.
-            body = _BODY[language].search(code, _past_parentheses(code, m.end()) if language == "go" and kind == "function" else m.end())
-            if body and body[0] == "{":
-                end = _closing(code, body.start())
-            elif kind == "type" or (kind == "function" and language in ("js", "ts")):
-                end = body.start() + (body[0] == ";") if body else len(source)
+    stack = [_Frame("", 0)]
+    lines = language in ("js", "ts", "go", "swift")
+    bodies, ends, value = _BODIES[language], _ENDS.get(language, []), _VALUE[language]
+    broke = False  # a line ended before this token
+
+    def finish(frame: _Frame, end: int) -> None:
+        if frame.head and ends and (language != "go" or len(stack) == 1) and frame.head[0][0] in ("const", "let", "type", "export"):
+            node = _judge(frame, ends, language)
+            if node:
+                node.end = end
+                node.name = node.name or frame.head[1][3] if node.kind == "type" else node.name
+                out.append(node)
+        frame.head = []
+
+    for token in lexer.tokens(source, language):
+        text, start, end = token
+        frame = stack[-1]
+        if text == "\n":
+            broke = True
+            continue
+        head = frame.head
+        if broke and lines and head and frame.opener in ("", "{"):
+            last = head[-1][0]
+            word = text[0].isalnum() or text[0] in "_$#@\"}" or (language == "swift" and text == "(")
+            plain = last[-1].isalnum() or last[-1] in "_$)]}\""
+            # In Go a line ends its statement after such a token, whatever follows.
+            if plain and (language == "go" or (word and last not in _GOES_ON and text not in _FOLLOWS)):
+                finish(frame, head[-1][2])
+                head = frame.head
+        broke = False
+        if text in _CLOSERS:
+            node, kept = None, True
+            if text == "{":
+                kept = bool(head) and head[-1][0] in value
+                node = None if kept or frame.opener in ("(", "[") else _judge(frame, bodies, language)
+            stack.append(_Frame(text, start, node, kept))
+        elif text in (")", "]", "}"):
+            if len(stack) == 1 or _CLOSERS[frame.opener] != text:
+                if text != "}" or not any(f.opener == "{" for f in stack):
+                    continue  # nothing of this kind is open
+                while stack[-1].opener != "{":
+                    stack.pop()
+                frame = stack[-1]
+            if text == "}":
+                finish(frame, frame.head[-1][2] if frame.head else start)
+            stack.pop()
+            outer = stack[-1]
+            if frame.node:
+                frame.node.end = end
+                out.append(frame.node)
+                outer.head = []
+            elif text == "}" and not frame.value and not any(t in ("=", "=>", "return", "new", "->", "let", "const", "var") for t, *_ in outer.head[:_HEAD]):
+                outer.head = []  # a block ends its statement
             else:
-                continue  # a declaration without a body
-            kind = "function" if kind == "method" else kind
-            out.append(Node(at, end, kind, "" if kind == "impl" else name))
-            break
+                outer.head.append((frame.opener + text, frame.at, end, frame.first))
+        elif text == ";" and frame.opener in ("", "{"):
+            finish(frame, end)
+        elif text == "," and frame.opener == "{" and frame.value:
+            frame.head = []
+        else:
+            if not frame.first and (text[0].isalpha() or text[0] == "_"):
+                frame.first = text
+            head.append((text, start, end, ""))
+            if len(head) > 4 * _HEAD and text == ",":
+                del head[_HEAD:]  # a long list of values
+    finish(stack[0], stack[0].head[-1][2] if stack[0].head else len(source))
     return out
 
 
 def _c(source: str, language: str) -> list[Node]:
     """Types and functions of C and C++: each opening brace is judged by what stands before it, once."""
-    code = _blank(source, language)
+    code = lexer.blanked(source, language)
     out: list[Node] = []
     opened: list[Node | None] = []
     last = 0
@@ -186,27 +250,69 @@ def _python(source: str) -> list[Node]:
     return out
 
 
-_RUBY = re.compile(r"^[ \t]*(?P<k>def|class|module)\s+(?:self\.)?(?P<n>[\w:]+[?!=]?)|(?:^[ \t]*|=\s*)(?P<o>if|unless|while|until|case|begin|for)\b|\bdo\b(?:\s*\|[^|]*\|)?\s*$|^[ \t]*(?P<e>end)\b|\b(?P<f>end)\s*$", re.M)
+_RUBY_NAME = re.compile(r"[ \t]*(?:[\w@]+[ \t]*\.[ \t]*)?(?P<n>[^\W\d]\w*(?:[?!]|=(?=\())?|[-+!~]@|\[\]=?|[^\w\s(]+)")
+_RUBY_ENDLESS = re.compile(r"[ \t]*=(?![=~>])")
+_RUBY_MODIFIERS = {"if", "unless", "while", "until"}
+_RUBY_BEFORE = set("=([{,|;\n!?:&") | {"\n", "&&", "||", "=>", "then", "else", "do", "and", "or", "not", "ensure", "begin", "+=", "->", "=="}
 
 
 def _ruby(source: str) -> list[Node]:
-    code = re.sub(r'#[^\n]*|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'', lambda m: " " * len(m[0]), source)
+    """Methods, classes and modules, by a stack of what waits for an `end`."""
     stack: list[Node | None] = []
-    out = []
-    for m in _RUBY.finditer(code):
-        if m["k"]:
-            start = m.start("k")
-            node = Node(start, start, {"def": "function"}.get(m["k"], m["k"]), m["n"])
-            if m["k"] == "def" and re.match(r"[^\n]*\)\s*=\s", code[m.end() :]):
-                continue
-            stack.append(node)
-        elif m["e"] or m["f"]:
+    out: list[Node] = []
+    endless: list[tuple[Node, int]] = []  # methods that end with their line, and the depth of brackets there
+    before, then, past, depth, loop = "\n", "", 0, 0, False
+    every = list(lexer.tokens(source, "ruby"))
+    for i, (text, start, end) in enumerate(every):
+        then = every[i + 1].text if i + 1 < len(every) else "\n"
+        if start < past:
+            continue  # the name of a method
+        depth += (text in "([{") - (text in ")]}")
+        if text in ("\n", ";"):
+            while endless and depth <= endless[-1][1] and before not in _RUBY_BEFORE - {"\n"}:
+                node, _ = endless.pop()
+                node.end = every[i - 1].end
+                out.append(node)
+            loop = loop and text == "\n" and before in _RUBY_BEFORE - {"\n"}
+        name = before in (".", "&.", "::", ":", "def") or (then == ":" and every[i + 1].start == end and not source.startswith("::", end)) or source[end : end + 1] in ("?", "!")
+        first = before in _RUBY_BEFORE
+        if not name and text == "def":
+            m = _RUBY_NAME.match(source, end)
+            node = Node(start, 0, "function", m["n"] if m else "")
+            past = m.end() if m else end
+            at = past
+            if source[at : at + 1] == "(":
+                level = 0
+                for t in lexer.tokens(source, "ruby", at):
+                    level += (t.text == "(") - (t.text == ")")
+                    at = t.end
+                    if not level:
+                        break
+            if _RUBY_ENDLESS.match(source, at):
+                endless.append((node, depth))
+            else:
+                stack.append(node)
+        elif not name and text in ("class", "module"):
+            m = re.compile(r"[ \t]+(?P<n>[A-Z][\w:]*)").match(source, end)
+            stack.append(Node(start, 0, text, m["n"]) if m else None)
+        elif not name and (text in ("begin", "case") or text == "for" and first or text in _RUBY_MODIFIERS and first):
+            stack.append(None)
+            loop = loop or text in ("while", "until", "for")
+        elif not name and text == "do":
+            if not loop:
+                stack.append(None)
+            loop = False
+        elif not name and text == "end":
+            if not stack:
+                raise ValueError("nothing to end")
             node = stack.pop()
             if node:
-                node.end = m.end()
+                node.end = end
                 out.append(node)
-        else:
-            stack.append(None)
+        before = text
+    for node, _ in endless:
+        node.end = len(source.rstrip())
+        out.append(node)
     if stack:
         raise ValueError("end is missing")
     return out
