@@ -57,17 +57,18 @@ _C_NAME = re.compile(r"(?:operator\s*\S{1,3}|~?\w+)\Z")
 _TYPED = r"(?:< .*> )?\(\) (?:: .*)?"
 _BODY: dict[str, list[tuple[str, str]]] = {
     "rust": [("function", r"(?:pub (?:\(\) )?|async |unsafe |const |default |safe |extern (?:\" )?)*fn (?:r # )?(?P<n>\w+) (?:< .*> )?\(\) .*"), ("impl", r"(?:unsafe |default )*impl .*")],
-    "js": [("function", r"(?:async )?function (?:\* )?(?P<n>[\w$]*) ?" + _TYPED), ("class", r"(?:abstract )?class (?:(?!extends |implements )(?P<n>[\w$]+) )?.*"),
+    "js": [("function", r"@MODS (?:async )?function (?:\* )?(?P<n>[\w$]*) ?" + _TYPED), ("class", r"@MODS (?:abstract )?class (?:(?!extends |implements )(?P<n>[\w$]+) )?.*"),
            ("method", r"(?:(?:public|private|protected|static|async|get|set|override|readonly|accessor) )*(?:\* )?(?P<n>[\w$#]+|\"|\[\]) " + _TYPED)],
     "go": [("function", r"func (?:\(\) )?(?P<n>\w+) (?:\[\] )?\(\) .*")],
     "java": [("class", r"@MODS class (?P<n>\w+) .*"), ("interface", r"@MODS interface (?P<n>\w+) .*"), ("enum", r"@MODS enum (?P<n>\w+) .*"), ("method", r"@MODS (?!record \w+ (?:< .*> )?\(\) )(?:< [^()]*> )?(?:[\w.<>,?&@ ]|\[\])*?(?P<n>\w+) \(\) (?:\[\] )*(?:throws .*)?")],
     "swift": [("function", r"@MODS func (?P<n>\w+|[^\w\s(]+(?: [^\w\s(]+)*) (?:< .*> )?\(\) .*"), ("function", r"@MODS init (?:[?!] )?(?:< .*> )?\(\) .*"), ("function", r"@MODS deinit "),
               ("class", r"@MODS (?:class|struct|enum|extension|actor) (?P<n>\w+) .*"), ("interface", r"@MODS protocol (?P<n>\w+) .*")],
 }
-_BODY["ts"] = [*_BODY["js"], ("interface", r"interface (?P<n>[\w$]+) .*")]
-_ENDED: dict[str, list[tuple[str, str]]] = {"js": [("function", r"(?:const|let) (?P<n>[\w$]+) (?:: .*)?= (?:async )?(?:function .*|(?:(?:< .*> )?\(\) (?:: .*)?|[\w$]+ )=> .*)")], "go": [("type", r"type (?:(?P<n>\w+) .*|\(\) )")]}
+_BODY["ts"] = [*_BODY["js"], ("interface", r"@MODS interface (?P<n>[\w$]+) .*")]
+_ENDED: dict[str, list[tuple[str, str]]] = {"js": [("function", r"@MODS (?:const|let) (?P<n>[\w$]+) (?:: .*)?= (?:async )?(?:function .*|(?:(?:< .*> )?\(\) (?:: .*)?|[\w$]+ )=> .*)")], "go": [("type", r"type (?:(?P<n>\w+) .*|\(\) )")]}
 _ENDED["ts"] = _ENDED["js"]
 _MODS = {
+    "js": "(?:(?:export|default|declare) )*", "ts": "(?:(?:export|default|declare) )*",
     "java": r"(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp|sealed|non - sealed|transient|volatile) |@ (?!interface )\w+ (?:\. \w+ )*(?:\(\) )?)*",
     "swift": r"(?:(?:public|private|fileprivate|internal|open|package|static|class|final|override|mutating|nonmutating|convenience|required|indirect|nonisolated|isolated|prefix|postfix|infix|dynamic|distributed) (?:\(\) )?|@ \w+ (?:\(\) )?)*",
 }
@@ -79,7 +80,7 @@ def _compiled(heads: dict[str, list[tuple[str, str]]]) -> dict:
 
 _BODIES, _ENDS = _compiled(_BODY), _compiled(_ENDED)
 #: What stands before a declaration without being part of it.
-_AHEAD = {"js": re.compile(r"(?:(?:export|default|declare) |@ [\w$]+ (?:\. [\w$]+ )*(?:\(\) )?)+"), "rust": re.compile(r"(?:# (?:! )?\[\] )+")}
+_AHEAD = {"js": re.compile(r"(?:@ [\w$]+ (?:\. [\w$]+ )*(?:\(\) )?)+"), "rust": re.compile(r"(?:# (?:! )?\[\] )+")}
 _AHEAD["ts"] = _AHEAD["js"]
 _NOT_METHODS = {"if", "for", "while", "switch", "catch", "return", "else", "do", "synchronized", "function", "new", "try", "with", "throw", "case", "assert", "yield", "await", "typeof"}
 _NO_METHOD = re.compile(r"(?:else|return|new|throw)\b")

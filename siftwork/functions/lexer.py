@@ -19,7 +19,7 @@ class Token(NamedTuple):
 _PLAIN = re.compile(r"(?P<blank>[^\S\n]+)|(?P<line>\n)|(?P<word>[^\W\d][\w]*|\d\w*)|(?P<two>=>|->|::|&\.|[-+*/%&|^<=!>]=(?!=)|==|&&|\|\|)|(?P<one>.)", re.S)
 _JS_WORD = re.compile(r"[$#]?[\w$]+")
 #: A slash after these begins a regex literal.
-_BEFORE_REGEX = set("(,=:[!&|?{};+-*%~^<>\n") | {"=>", "&&", "||", "==", "return", "typeof", "case", "in", "of", "do", "else", "new", "delete", "void", "throw", "await", "yield", "and", "or", "not", "if", "unless", "when", "while", "until", "+=", "-=", "*=", "!=", "<=", ">="}
+_BEFORE_REGEX = set("(,=:[!&|?{};+-*/%~^<>\n") | {"=>", "&&", "||", "==", "return", "typeof", "case", "in", "of", "do", "else", "new", "delete", "void", "throw", "await", "yield", "and", "or", "not", "if", "unless", "when", "while", "until", "+=", "-=", "*=", "!=", "<=", ">="}
 _REGEX = re.compile(r"/(?![*/\n])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/\w*")
 _PAIRS = {"(": ")", "[": "]", "{": "}", "<": ">"}
 _HEREDOC = re.compile(r"<<(?:[~-](?P<q>[\"'`]?)(?P<a>\w+)(?P=q)|(?P<p>[\"'`]?)(?P<b>[A-Z_]\w*)(?P=p))")

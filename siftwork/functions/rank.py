@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +14,8 @@ from . import text
 
 #: A raw fuzzy score of this much counts one half (fixed value).
 FUZZY_HALF = 50.0
+#: Scored names that a task remembers.
+NAMES = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -84,13 +85,21 @@ def fuzzy_raw(name: str, query: str) -> int:
 
 
 def fuzzy(query: str):
-    """A column function on distinct file names: raw / (raw + FUZZY_HALF)."""
-
-    @F.pandas_udf(DoubleType())
-    def run(names: pd.Series) -> pd.Series:
-        raw = names.fillna("").map(lambda n: fuzzy_raw(n, query))
-        return raw / (raw + FUZZY_HALF)
+    """A column function on file names: raw / (raw + FUZZY_HALF). Each distinct name of a task is scored once."""
 
+    @F.arrow_udf(DoubleType())
+    def run(names: pa.Array) -> pa.Array:
+        coded = names.fill_null("").dictionary_encode()
+        new = [n for n in coded.dictionary.to_pylist() if n not in seen]
+        if len(seen) + len(new) > NAMES:
+            seen.clear()
+            new = coded.dictionary.to_pylist()
+        for n in new:
+            raw = fuzzy_raw(n, query)
+            seen[n] = raw / (raw + FUZZY_HALF)
+        return pa.array(np.array([seen[n] for n in coded.dictionary.to_pylist()], np.float64)[np.asarray(coded.indices)])
+
+    seen: dict[str, float] = {}
     return run
 
 

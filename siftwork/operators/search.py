@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import rank, text
 from ..schema import TIES
-from ..session import ship
+from ..session import Scratch, ship
 
 HIT = ["path", "content", "score", "start_line", "end_line", "chunk_kind", "name", "truncated", "mtime"]
 POOL, CITED, RELEVANT = 50, 3, 0.3
@@ -39,14 +39,10 @@ def hybrid_search(chunks: DataFrame, query: str, vector: list[float], k: int, fo
     asked = text.question(query) if as_question is None else as_question
     chunks = scoped(chunks, folder, exclude)
     fuzzy: Column | None = None
-    if not asked and weights.fuzzy:
-        # Each distinct file name is scored once; names are few next to chunks.
-        chunks = chunks.withColumn("_file", text.file_name(F.col("path")))
-        names = chunks.select("_file").distinct().withColumn("_fuzzy", rank.fuzzy(query)("_file"))
-        chunks = chunks.join(names, "_file", "left")
-        fuzzy = F.coalesce("_fuzzy", F.lit(0.0))
-    elif not asked:
-        fuzzy = F.lit(0.0)
+    if not asked:
+        ship(chunks.sparkSession)
+        # One pass with the similarity, in the same workers: no join, and no shuffle of chunks.
+        fuzzy = rank.fuzzy(query)(text.file_name(F.col("path"))) if weights.fuzzy else F.lit(0.0)
     score = rank.hybrid(rank.similarity(F.col("embedding"), vector), fuzzy, rank.overlap(query, F.col("content")), weights)
     return top(chunks.withColumn("score", score), k).select(*HIT, "chunk_ord")
 
@@ -135,15 +131,20 @@ def batch_top_k(chunks: DataFrame, queries: DataFrame, k: int, wave: int = 1024)
     Queries go out in waves of at most `wave`, which are what is sent to the tasks; a task keeps k rows
     for each query of what it reads, so that k rows a task and query are shuffled, whatever the table.
     """
-    ship(chunks.sparkSession)
-    asked = queries.withColumn("_n", F.row_number().over(Window.orderBy("query_id")) - 1)
-    count = queries.count()
-    kind = queries.schema["query_id"].dataType.simpleString()
+    spark = chunks.sparkSession
+    ship(spark)
+    key = queries.schema["query_id"].dataType
+    kind = key.simpleString()
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    waves = max(1, -(-queries.count() // wave))
+    if waves > 1:  # written, as the wave of a row may be another one when its plan runs again
+        asked = Scratch(spark, "asked").table(asked.withColumn("_wave", F.pmod(F.xxhash64("query_id", F.monotonically_increasing_id()), F.lit(2 * waves))), "queries")
     parts = []
-    for low in range(0, count, wave):
-        rows = asked.filter((F.col("_n") >= low) & (F.col("_n") < low + wave)).select("query_id", F.col("vector").cast("array<double>").alias("vector")).collect()
-        near = _nearest([(r.query_id, r.vector or []) for r in rows], k, to_arrow_type(queries.schema["query_id"].dataType))
-        parts.append(chunks.select(*TIES, "embedding").mapInArrow(near, f"query {kind}, path string, start_line int, chunk_ord int, score double"))
+    for i in range(2 * waves if waves > 1 else 1):  # a hash deals about half of `wave` queries to each
+        rows = (asked.filter(F.col("_wave") == i) if waves > 1 else asked).select("query_id", "vector").collect()
+        for low in range(0, len(rows), wave):
+            near = _nearest([(r.query_id, r.vector or []) for r in rows[low : low + wave]], k, to_arrow_type(key))
+            parts.append(chunks.select(*TIES, "embedding").mapInArrow(near, f"query {kind}, path string, start_line int, chunk_ord int, score double"))
     if not parts:
         return chunks.sparkSession.createDataFrame([], f"query_id {kind}, rank int, path string, start_line int, score double")
     found = parts[0]

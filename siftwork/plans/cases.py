@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +48,12 @@ FUZZY = "aelt"
 
 
 def _chunks(s: SparkSession, d: str) -> DataFrame:
+    """A file for each document, which of FILES by turns of doc_id."""
     ship(s)
-    files = s.createDataFrame([(p, "\n".join(x) + "\n") for p, x, _ in FILES], "path string, content string")
+    place = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(len(FILES))).cast("int") + 1
+    part = lambda of: F.element_at(F.array(*[F.lit(x) for x in of]), place)
+    path = F.concat(F.lit("/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), part([p for p, _, _ in FILES]))
+    files = read(s, d, "documents").select(path.alias("path"), part(["\n".join(x) + "\n" for _, x, _ in FILES]).alias("content"))
     return chunkers.chunk_files(files).select("path", "chunk_ord", "start_line", "end_line", "chunk_kind", "name")
 
 
@@ -80,8 +85,63 @@ def _literal(x) -> str:
 
 
 def _chunks_sql() -> str:
-    rows = ", ".join(f"({_literal(p)}, {i}, {a}, {b}, {_literal(k)}, {_literal(n)})" for p, _, each in FILES for i, (a, b, k, n) in enumerate(each))
-    return f"SELECT * FROM (VALUES {rows}) AS t(path, chunk_ord, start_line, end_line, chunk_kind, name)"
+    rows = ", ".join(f"({f}, {_literal(p)}, {i}, {a}, {b}, {_literal(k)}, {_literal(n)})" for f, (p, _, each) in enumerate(FILES) for i, (a, b, k, n) in enumerate(each))
+    return f"WITH t(f, path, chunk_ord, start_line, end_line, chunk_kind, name) AS (VALUES {rows}) SELECT '/' || coalesce(doc_id::VARCHAR, 'none') || path AS path, chunk_ord, start_line, end_line, chunk_kind, name FROM documents JOIN t ON coalesce(doc_id, 0) % {len(FILES)} = f"
+
+
+#: By extension: first lines, lines of a member, and last lines of a file of nested declarations. In them %n is the
+#: member's number and %t a document's text; (first, last, kind, name) are the member's chunk, and a chunk at the end.
+NESTED = {
+    "rs": (["use x::Y; // %t", "impl<T> Z<T> where T: Q {"], ["    /* %t /* nested } */ { */", "    pub(crate) async fn m%n<'a>(s: &'a str) -> [u8; 2] {", "        let t = r#\"%t } \" {\"#;", "        if x { fn inner() {} }", "    }"], ["}"], (2, 5, "function", "m%n"), None),
+    "js": (["import x from 'x' // %t", "export default class K extends mixin({a: 1}) {"], ["  f%n = 5", "  async *m%n({a}, b = {}) {", "    return `%t }${ {a: `{`} } {` + x / /[}/]{/.source", "  }"], ["}", "const z = (a) => a + 1"], (2, 4, "function", "m%n"), (1, 1, "function", "z")),
+    "ts": (["// %t", "export class A<T extends {a: 1}> {"], ["  private m%n(a: {b: string}): {c: number} {", "    return '%t } {' as any", "  }"], ["}", "export interface I<T> extends J { k(): void }"], (1, 3, "function", "m%n"), (1, 1, "interface", "I")),
+    "go": (["package p // %t", "type (", "\tA struct { x int }", "\tB int", ")"], ["func (t *T[K]) M%n(f func() interface{}) (map[string]struct{}, error) {", "\ts := `%t } {`", "\treturn nil, nil", "}"], [], (1, 4, "function", "M%n"), None),
+    "java": (["package p; /* %t */", "record R<T>(int a) {"], ["  @Override @A(b = \"{\") public <K> Map<K, List<T>> m%n(F<? super K> f) throws E {", "    Runnable r = () -> { go(\"%t } {\"); };", "  }"], ["}", "@interface N { int a() default 1; }", "enum E { X { int v() { return 1; } }, Y }"], (1, 3, "function", "m%n"), (2, 2, "enum", "E")),
+    "c": (["#include <a.h> /* %t */", "#define BEGIN {"], ["#ifdef W", "static int *f%n(int a) {", "#else", "static int *f%n(void) {", "#endif", "  return \"%t } {\";", "}"], [], (2, 7, "function", "f%n"), None),
+    "cpp": (["// %t", "namespace n {", "class Q final : public R<int> {"], [" public:", "  T m%n() const {", "    return R\"x(%t } \" {)x\";", "  }"], ["};", "}"], (2, 4, "function", "m%n"), None),
+    "rb": (["# %t", "class A < B"], ["  private def m%n(k)", "    x = if y then \"%t } end\" else <<~Q end", "      end def class", "    Q", "    h = {if: 1, class: :end} while z.class", "    while x do break end", "  end"], ["  class << self; def e = 1; end", "end"], (1, 7, "function", "m%n"), (0, 0, "function", "e")),
+    "swift": (["import F // %t", "public final class A: B {"], ["  override func m%n<T>(_ x: T) -> [T] where T: C {", "    let s = #\"%t } \" {\"#; return f(\"\\(x.map { \"}\" })\")", "  }"], ["}", "protocol P { func q() }"], (1, 3, "function", "m%n"), (1, 1, "interface", "P")),
+    "py": (["import x # %t", "class A:"], ["    @d('def f():')", "    async def m%n(self, a='}'):", "        def inner(): pass", "        return '%t def class'"], ["", "class B: pass"], (2, 4, "function", "m%n"), (1, 1, "class", "B")),
+}
+#: The chunk before the first member, from line 1: where it ends (from the first lines' end), and chunks that stand within the first lines.
+HEADED = {"go": (2, 5, "type", "A")}
+
+
+def _nested(s: SparkSession, d: str) -> DataFrame:
+    """Every document as the text in a file of 1 to 3 nested declarations, in each language by turns of doc_id."""
+    ship(s)
+    safe = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 ;(){}\u00e0-\u00ff]", " ")
+    docs = read(s, d, "documents").select(F.coalesce("doc_id", F.lit(0)).alias("id"), safe.alias("t"))
+    place = (F.pmod("id", F.lit(len(NESTED))) + 1).cast("int")
+    part = lambda of: F.element_at(F.array(*[F.lit("\n".join(x)) for x in of]), place)
+    first, member, last = (part([w[i] for w in NESTED.values()]) for i in range(3))
+    count = (F.col("id") / len(NESTED)).cast("long") % 3 + 1
+    members = F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), count), lambda n: F.replace(member, F.lit("%n"), n.cast("string"))), "\n")
+    content = F.replace(F.concat(first, F.lit("\n"), members, F.lit("\n"), last, F.lit("\n")), F.lit("%t"), F.col("t"))
+    path = F.concat(F.lit("/n/"), F.col("id").cast("string"), F.lit("."), F.element_at(F.array(*[F.lit(x) for x in NESTED]), place))
+    got = chunkers.chunk_files(docs.select(path.alias("path"), content.alias("content")))
+    return got.select("path", "start_line", "end_line", "chunk_kind", "name")
+
+
+def _nested_sql() -> str:
+    heads, members, tails = [], [], []
+    for i, (ext, (first, member, last, (a, b, kind, name), tail)) in enumerate(NESTED.items()):
+        h, m = len(first), len(member)
+        if ext in HEADED:
+            x, y, k, n = HEADED[ext]
+            heads += [(i, 1, x, "file", ""), (i, x, y, k, n)]
+        else:
+            heads.append((i, 1, h + a, "file", ""))
+        members.append((i, ext, h, m, a, b, kind, name.replace("%n", "")))
+        if tail:
+            tails.append((i, tail[0] + 1, tail[1] + 1, tail[2], tail[3]))
+    values = lambda rows: ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
+    return f"""WITH m(i, ext, h, m, a, b, kind, name) AS (VALUES {values(members)}), h(i, a, b, kind, name) AS (VALUES {values(heads)}), t(i, a, b, kind, name) AS (VALUES {values(tails)}),
+d AS (SELECT coalesce(doc_id, 0) AS id, coalesce(doc_id, 0) // {len(NESTED)} % 3 + 1 AS k, m.* FROM documents JOIN m ON coalesce(doc_id, 0) % {len(NESTED)} = m.i),
+e AS (SELECT *, unnest(range(1, k + 1)) AS n FROM d)
+SELECT '/n/' || id || '.' || ext AS path, (h + (n - 1) * m + a)::INT AS start_line, (h + (n - 1) * m + b)::INT AS end_line, kind AS chunk_kind, name || n AS name FROM e
+UNION ALL SELECT '/n/' || id || '.' || ext, h.a, h.b, h.kind, h.name FROM d JOIN h USING (i)
+UNION ALL SELECT '/n/' || id || '.' || ext, (d.h + k * m + t.a)::INT, (d.h + k * m + t.b)::INT, t.kind, t.name FROM d JOIN t USING (i)"""
 
 
 def _fuzzy_sql(names: str, query: str) -> str:
@@ -146,9 +206,28 @@ def _stored(s: SparkSession, d: str) -> DataFrame:
 
 
 def _listed(s: SparkSession, d: str) -> DataFrame:
+    """Files made of the benchmark texts in folders with ignore rules, listed by the source and read; paths below the root."""
     ship(s)
     source.register(s)
-    return s.read.format("folder").option("path", "/root/testdata/sf0.01").load().select("op", "path")
+    root = os.path.realpath(shared_dir(s).removeprefix("file://")) + f"/siftwork/files-{uuid.uuid4().hex}"
+    os.makedirs(root + "/deep/1")
+    for name, rules in ((".gitignore", "*.log\n!2.log\n/deep/2/\n"), ("deep/.gitignore", "1/*.txt\n!1/**/7.txt\n")):
+        with open(f"{root}/{name}", "w", encoding="utf-8") as f:
+            f.write(rules)
+
+    def write(batches):
+        for b in batches:
+            for path, content in zip(b["path"], b["text"], strict=True):
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "w", encoding="utf-8") as f:
+                    f.write(content or "")
+            yield b[["path"]]
+
+    ext = F.element_at(F.array(F.lit(".md"), F.lit(".log"), F.lit(".txt"), F.lit(".rs")), (F.pmod("item_id", F.lit(4)) + 1).cast("int"))
+    path = F.concat(F.lit(root + "/deep/"), F.pmod("item_id", F.lit(3)).cast("string"), F.lit("/"), F.col("item_id").cast("string"), ext)
+    read(s, d, "benchmark").select(path.alias("path"), "text").mapInPandas(write, "path string").count()
+    files = source.read_texts(s.read.format("folder").option("path", root).load())
+    return files.select("op", F.substr("path", F.lit(len(root) + 2)).alias("path"), F.md5(F.col("content").cast("binary")).alias("md5"), F.coalesce("problem", F.lit("")).alias("problem"))
 
 
 def _progress(s: SparkSession, d: str) -> DataFrame:
@@ -158,19 +237,21 @@ def _progress(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "chunk_cases": _chunks, "chunk_languages": _languages, "hybrid_default_weights": _hybrid, "embedding_sums": _embedded, "store_round_trip": _stored, "folder_listing": _listed, "index_progress": _progress,
+    "chunk_cases": _chunks, "chunk_nested": _nested, "chunk_languages": _languages, "hybrid_default_weights": _hybrid, "embedding_sums": _embedded, "store_round_trip": _stored, "folder_listing": _listed, "index_progress": _progress,
     "store_row_count": lambda s, d: s.createDataFrame([(_store(s, d)[0].row_count(),)], "n long"),
     "fuzzy_filename": lambda s, d: (ship(s), read(s, d, "part").select(F.col("p_name").alias("name")).distinct().withColumn("score", F.round(rank.fuzzy(FUZZY)("name"), 6)))[1],
     "blank_filter": lambda s, d: read(s, d, "documents").filter(~text.is_blank(F.coalesce("text", F.lit("")))).select("doc_id"),
     "result_lines": lambda s, d: catalogue.chunks(s, d).select("path", text.result_line(F.col("chunk_kind"), F.col("start_line") + 4, F.when(F.col("mtime") % 2 == 0, F.lit(9))).alias("line")),
 }
 SQL = {
-    "chunk_cases": _chunks_sql(), "chunk_languages": _languages_sql(),
+    "chunk_cases": _chunks_sql(), "chunk_nested": _nested_sql(), "chunk_languages": _languages_sql(),
     "hybrid_default_weights": catalogue._BASE + ", " + _fuzzy_sql("SELECT DISTINCT regexp_extract(path, '[^/]*$') AS name FROM chunks", "md") + f", z AS (SELECT s.path, s.start_line, 0.55 * sem + 0.30 * (raw / (raw + 50.0)) AS score FROM s JOIN f ON regexp_extract(s.path, '[^/]*$') = f.name) SELECT path, start_line, round(score, 6) AS score FROM (SELECT * FROM z ORDER BY score DESC, path LIMIT {catalogue.K})",
     "embedding_sums": _EMBED_SQL,
     "store_round_trip": f"WITH c AS (SELECT '{catalogue.CODE}/' || label || '/' || vec_id || '.rs' AS path, vec_id, label, len(embedding)::INT AS dim FROM embeddings) SELECT path, CASE WHEN label = 1 THEN 'new' ELSE 'fn fn_' || vec_id || '() {{ the one }}' END AS content, CASE WHEN label = 1 THEN 'fn_' || vec_id ELSE '' END AS name, CASE WHEN label = 1 THEN vec_id ELSE 0 END AS mtime, dim FROM c WHERE label <> 2 AND (label <> 1 OR vec_id % 2 = 0)",
     "store_row_count": "SELECT count(*) AS n FROM embeddings",
-    "folder_listing": "SELECT 'scan' AS op, file AS path FROM glob('/root/testdata/sf0.01/**')",
+    "folder_listing": """WITH b AS (SELECT item_id AS i, item_id % 3 AS f, CASE item_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.log' WHEN 2 THEN '.txt' ELSE '.rs' END AS x, coalesce(text, '') AS text FROM benchmark),
+k AS (SELECT *, length(regexp_replace(text, '\\s', '', 'g')) = 0 AS blank FROM b WHERE f <> 2 AND (x <> '.log' OR i = 2) AND NOT (f = 1 AND x = '.txt' AND i <> 7))
+SELECT 'scan' AS op, 'deep/' || f || '/' || i || x AS path, CASE WHEN NOT blank THEN md5(text) END AS md5, CASE WHEN blank THEN 'has no text' ELSE '' END AS problem FROM k""",
     "index_progress": "WITH f AS (SELECT DISTINCT conv_id FROM conversations WHERE turn <> 2), x AS (SELECT DISTINCT conv_id FROM conversations WHERE turn > 1) SELECT count(*) AS total, count(x.conv_id) AS indexed, count(*) - count(x.conv_id) AS failed_count, least(count(*) - count(x.conv_id), 20) AS shown FROM f LEFT JOIN x USING (conv_id)",
     "fuzzy_filename": "WITH " + _fuzzy_sql("SELECT DISTINCT p_name AS name FROM part", FUZZY) + " SELECT name, round(raw / (raw + 50.0), 6) AS score FROM f",
     "blank_filter": r"SELECT doc_id FROM documents WHERE length(regexp_replace(coalesce(text, ''), '\s', '', 'g')) > 0",

@@ -82,7 +82,7 @@ def test_ordinary_code(ext, source, want):
 
 def test_ends_of_declarations():
     got = {c.name: c.content for e, s, _ in HARD[3:5] for c in chunk_source(e, s)}
-    assert got["f"] == "const f = (a) => a + 1" and got["h"] == "let h = async x => { y }" and got["e"] == "const e = function named() {};"
+    assert got["f"] == "const f = (a) => a + 1" and got["h"] == "let h = async x => { y }" and got["e"] == "export const e = function named() {};"
     got = {c.name: c.content for c in chunk_source("rb", HARD[0][1])}
     assert got["c"] == "def c = 1" and got["d"] == "def d(x) =\n    x + 1" and got["e"] == "def e; end"
     assert next(c for c in chunk_source("go", HARD[7][1]) if c.name == "A").content.endswith("B int\n)")
