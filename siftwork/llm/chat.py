@@ -11,7 +11,7 @@ Defined cases:
 - a null role is a participant without a name (""); a null text is empty; turns with a null number
   come in a part of their own (-1), before the others.
 - turns of one number are ordered by role and text; repeated rows are repeated turns. All turns of one
-  number are in one part, whatever their count.
+  number are in one part, whatever their count; the time for a part is that of sorting its turns.
 - texts are not escaped: one that holds a marker looks like a turn, but only the mask tells which words
   are the assistant's.
 - rows with a null conv_id are one conversation. A conversation of system turns alone has no
@@ -20,7 +20,7 @@ Defined cases:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import read
@@ -36,12 +36,28 @@ def rotate(turns: DataFrame, part: int = PART) -> DataFrame:
     spoke = rows.filter("t.role <> 'system'").groupBy(F.col("conv_id").alias("_conv"), F.col("t.role").alias("participant")).agg(F.lit(1).alias("one")).drop("one")
     every = parts.join(spoke, parts["conv_id"].eqNullSafe(spoke["_conv"])).drop("_conv")
     name = "CASE WHEN t.role = participant THEN 'assistant' WHEN t.role = 'system' THEN 'system' ELSE concat('user:', t.role) END"
-    said = every.withColumn("heads", F.expr(f"transform(turns, t -> concat('<|', {name}, '|>\\n'))"))
-    said = said.withColumn("sizes", F.expr("transform(turns, (t, i) -> length(heads[i]) + length(t.text) + length('<|end|>\\n'))"))
-    said = said.withColumn("starts", F.expr("aggregate(sizes, array(0L), (a, x) -> concat(a, array(element_at(a, -1) + x)))"))
-    spans = "transform(filter(sequence(0, size(turns) - 1), i -> turns[i].role = participant), i -> named_struct('start', starts[i] + length(heads[i]), 'length', CAST(length(turns[i].text) AS LONG)))"
-    text = "array_join(transform(turns, (t, i) -> concat(heads[i], t.text, '<|end|>\\n')), '')"
-    return said.select("conv_id", "participant", "part", F.size("turns").cast("long").alias("n_turns"), F.expr(text).alias("text"), F.expr(spans).alias("mask"))
+    said = every.withColumn("text", F.expr(f"array_join(transform(turns, t -> concat('<|', {name}, '|>\\n', t.text, '<|end|>\\n')), '')"))
+    own = _own(rows)
+    same = said["conv_id"].eqNullSafe(own["_conv"]) & (said["part"] == own["_part"]) & (said["participant"] == own["_role"])
+    mask = F.coalesce("spans", F.array().cast("array<struct<start: bigint, length: bigint>>"))
+    return said.join(own, same, "left").select("conv_id", "participant", "part", F.size("turns").cast("long").alias("n_turns"), "text", mask.alias("mask"))
+
+
+def _own(rows: DataFrame) -> DataFrame:
+    """(_conv, _part, _role, spans): where the texts of each speaker stand in a part that is rendered for that speaker.
+
+    These are running sums, so a part costs what it holds, however many turns it has. Before a turn stand all
+    turns before it as others see them; each of the speaker's own is headed "assistant" instead of "user:name".
+    """
+    role, size = F.col("t.role"), F.length("t.text")
+    marks = len("<||>\n<|end|>\n")
+    seen = F.when(role == "system", F.lit(len("system"))).otherwise(F.length(role) + len("user:")) + size + marks
+    order = Window.partitionBy("conv_id", "part").orderBy("t")
+    placed = rows.withColumn("i", F.row_number().over(order)).withColumn("before", F.coalesce(F.sum(seen.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = placed.filter(role != "system").withColumn("mine", F.row_number().over(Window.partitionBy("conv_id", "part", role).orderBy("i")) - 1)
+    start = F.col("before") + F.col("mine") * (len("assistant") - len("user:") - F.length(role)) + len("<|assistant|>\n")
+    span = F.struct(start.cast("long").alias("start"), size.cast("long").alias("length"))
+    return placed.groupBy(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), role.alias("_role")).agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
