@@ -92,7 +92,8 @@ _VALUE = {
 _VALUE["ts"] = _VALUE["js"]
 #: Words that do not end a statement, and words that do not begin one, where lines end statements.
 _GOES_ON = {"export", "default", "function", "class", "const", "let", "async", "static", "extends", "implements", "new", "typeof", "await", "abstract", "declare", "interface", "func", "type", "public", "private", "internal", "struct", "enum", "extension", "protocol", "where", "final", "override", "case", "in", "of", "=>"}
-_FOLLOWS = {"extends", "implements", "in", "of", "instanceof", "as", "satisfies", "where", "throws", "async", "rethrows", "else", "catch", "is"}
+_FOLLOWS = {"extends", "implements", "in", "of", "instanceof", "as", "satisfies", "else", "catch", "is"}
+_FOLLOWS_SWIFT = _FOLLOWS | {"where", "throws", "async", "rethrows"}
 _CLOSERS = {"(": ")", "[": "]", "{": "}"}
 #: Tokens of a head that are looked at.
 _HEAD = 200
@@ -133,6 +134,7 @@ def _braced(source: str, language: str) -> list[Node]:
     stack = [_Frame("", 0)]
     lines = language in ("js", "ts", "go", "swift")
     bodies, ends, value = _BODIES[language], _ENDS.get(language, []), _VALUE[language]
+    follows = _FOLLOWS_SWIFT if language == "swift" else _FOLLOWS
     broke = False  # a line ended before this token
 
     def finish(frame: _Frame, end: int) -> None:
@@ -156,7 +158,7 @@ def _braced(source: str, language: str) -> list[Node]:
             word = text[0].isalnum() or text[0] in "_$#@\"}" or (language == "swift" and text == "(")
             plain = last[-1].isalnum() or last[-1] in "_$)]}\""
             # In Go a line ends its statement after such a token, whatever follows.
-            if plain and (language == "go" or (word and last not in _GOES_ON and text not in _FOLLOWS)):
+            if plain and (language == "go" or (word and last not in _GOES_ON and text not in follows)):
                 finish(frame, head[-1][2])
                 head = frame.head
         broke = False
