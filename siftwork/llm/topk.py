@@ -12,8 +12,8 @@ Defined cases:
 - vectors that are null, or hold null or non-finite components take no part, nor do rows with a null
   vec_id; vectors of another length than a query's have no score with it.
 - a score that does not fit a long, or a component that is infinite when scaled, fails the search.
-- repeated rows: each is a candidate of its own, and each query row gets its own result. All rows with
-  the query's vec_id are left out of its candidates.
+- repeated rows: each is a candidate of its own, and each query row gets its own result. Of its candidates a
+  query's own row is left out: one row of its id and of its score with itself. Others of that id are candidates.
 - fewer than k candidates: all of them. Empty tables give an empty result. Empty vectors score 0.
 """
 
@@ -82,19 +82,23 @@ class Wave:
     def __init__(self, ids: list[int], vectors: list, first: int = 0):
         self.ids, self.first = np.array(ids, np.int64), first
         self.by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.own = np.zeros(len(ids), np.int64)  # each query's score with itself
         sizes = np.array([len(v) for v in vectors])
         for d in np.unique(sizes).tolist():
             at = np.flatnonzero(sizes == d)
-            self.by[d] = at, scaled([vectors[i] for i in at]).reshape(len(at), d)
+            q = scaled([vectors[i] for i in at]).reshape(len(at), d)
+            self.by[d] = at, q
+            for i, row in zip(at.tolist(), q, strict=True):
+                self.own[i] = inner(row[None], row[None])[0, 0]
 
     def scores(self, batch: pa.RecordBatch):
-        """Blocks (query numbers, candidate ids, scores, mask of allowed pairs)."""
+        """Blocks (query numbers, candidate ids, scores)."""
         for d, (ids, v) in _usable(batch).items():
             if d in self.by:
                 at, q = self.by[d]
                 for i in range(0, len(at), 256):
                     for j in range(0, len(ids), 4096):
-                        yield at[i : i + 256], ids[j : j + 4096], inner(q[i : i + 256], v[j : j + 4096]), self.ids[at[i : i + 256]][:, None] != ids[None, j : j + 4096]
+                        yield at[i : i + 256], ids[j : j + 4096], inner(q[i : i + 256], v[j : j + 4096])
 
 
 def _count(wave: Wave, low: np.ndarray, width: np.ndarray, k: int):
@@ -105,9 +109,9 @@ def _count(wave: Wave, low: np.ndarray, width: np.ndarray, k: int):
         best = np.full((n, k), np.iinfo(np.int64).min)  # the k best scores of this partition so far
         kept: list[dict[int, int]] = [{} for _ in range(n)]
         for b in batches:
-            for at, _, s, ok in wave.scores(b):
+            for at, _, s in wave.scores(b):
                 for r, q in enumerate(at.tolist()):
-                    own = s[r][ok[r] & (s[r] >= max(low[q], best[q, 0]))]
+                    own = s[r][s[r] >= max(low[q], best[q, 0])]
                     if not len(own):
                         continue
                     top = np.concatenate([best[q], own])
@@ -132,9 +136,9 @@ def _range(wave: Wave):
         n = len(wave.ids)
         low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
         for b in batches:
-            for at, _, s, ok in wave.scores(b):
-                low[at] = np.minimum(low[at], np.where(ok, s, np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max))
-                high[at] = np.maximum(high[at], np.where(ok, s, np.iinfo(np.int64).min).max(axis=1, initial=np.iinfo(np.int64).min))
+            for at, _, s in wave.scores(b):
+                low[at] = np.minimum(low[at], s.min(axis=1, initial=np.iinfo(np.int64).max))
+                high[at] = np.maximum(high[at], s.max(axis=1, initial=np.iinfo(np.int64).min))
         has = np.flatnonzero(low <= high)
         yield pa.RecordBatch.from_arrays([pa.array(has, pa.int32()), pa.array(low[has]), pa.array(high[has])], ["q", "low", "high"])
 
@@ -148,10 +152,10 @@ def _final(wave: Wave, kth: np.ndarray, k: int):
         ties: dict[int, np.ndarray] = {}
         for b in batches:
             out = []
-            for at, ids, s, ok in wave.scores(b):
-                r, c = np.nonzero(ok & (s > kth[at][:, None]))
+            for at, ids, s in wave.scores(b):
+                r, c = np.nonzero(s > kth[at][:, None])
                 out.append((at[r], ids[c], s[r, c]))
-                equal = ok & (s == kth[at][:, None])
+                equal = s == kth[at][:, None]
                 for r in np.flatnonzero(equal.any(axis=1)).tolist():
                     q = int(at[r])
                     ties[q] = np.sort(np.concatenate([ties.get(q, ids[:0]), ids[equal[r]]]))[:k]
@@ -165,7 +169,7 @@ def _final(wave: Wave, kth: np.ndarray, k: int):
 
 
 def _hits(wave: Wave, q: np.ndarray, v: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(q + wave.first, pa.int64()), pa.array(wave.ids[q]), pa.array(v, pa.int64()), pa.array(s, pa.int64())], ["query", "query_id", "vec_id", "score"])
+    return pa.RecordBatch.from_arrays([pa.array(q + wave.first, pa.int64()), pa.array(wave.ids[q]), pa.array(v, pa.int64()), pa.array(s, pa.int64()), pa.array((wave.ids[q] == v) & (wave.own[q] == s))], ["query", "query_id", "vec_id", "score", "own"])
 
 
 def search(spark: SparkSession, queries: DataFrame, rows: DataFrame, k: int = K, wave: int = WAVE) -> DataFrame:
@@ -186,13 +190,14 @@ def search(spark: SparkSession, queries: DataFrame, rows: DataFrame, k: int = K,
             part = got[at : at + wave]
             w = Wave([r.vec_id for r in part], [r.embedding for r in part], first)
             first += len(part)
-            hits.append(work.table(_select(rows, w, k), "hits"))
+            hits.append(work.table(_select(rows, w, k + 1), "hits"))  # with the query's own row
     if not hits:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     out = hits[0]
     for h in hits[1:]:
         out = out.unionByName(h)
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    out = out.withColumn("copy", F.row_number().over(Window.partitionBy("query", "own").orderBy("vec_id"))).filter("NOT own OR copy > 1")
     return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -216,7 +221,7 @@ def _select(rows: DataFrame, w: Wave, k: int) -> DataFrame:
                 active = True
             else:
                 low[r.q] += r.bin
-    return rows.mapInArrow(_final(w, low, k), "query long, query_id long, vec_id long, score long")
+    return rows.mapInArrow(_final(w, low, k), "query long, query_id long, vec_id long, score long, own boolean")
 
 
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,9 +230,9 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = """
-WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
-s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
