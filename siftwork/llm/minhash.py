@@ -9,8 +9,8 @@
 3. The others are confirmed on their full sets, by the vertical counts of the n-gram join (jaccard.py).
 4. Sets with an equal band key form a group, of one row a set. First each set meets one hub, the most central
    set of its groups: stars, not all pairs, so that large groups of near copies cost linear work. Then hubs
-   of each group that still has two components meet all its members and leave it, until no such group is
-   left. These meetings compare packed bits within a task (hubs go to each salt of a large group).
+   of each group that still has two components, from others than its largest one, meet all its members and
+   leave it, until no such group is left. These meetings compare packed bits within a task (hubs go to each salt of a large group).
 
 Hashes of shingles and ids of classes (documents with equal sets) have 64 bits.
 
@@ -48,7 +48,7 @@ SIGMAS = 5.5
 #: Shingles hashed at once.
 BLOCK = 1 << 15
 #: Hubs of a group in turns after the first one: few at first, as sets that these link need not meet others.
-HUBS = (4, 16, 256)
+HUBS = (8, 512)
 
 _DRAW = random.Random(13)
 _FACTOR = np.array([_DRAW.getrandbits(64) | 1 for _ in range(K)], np.uint64)
@@ -93,8 +93,10 @@ def packed(least: np.ndarray) -> np.ndarray:
 
 def unequal(x: np.ndarray) -> np.ndarray:
     """How many packed minima differ, from words that are the exclusive or of two sets' words."""
-    for shift in range(1, BITS):
+    shift = 1
+    while shift < BITS:  # each minimum's bits on its lowest one
         x = x | (x >> np.uint64(shift))
+        shift *= 2
     return np.bitwise_count(x & _ONES).sum(axis=-1, dtype=np.int64)
 
 
@@ -221,10 +223,17 @@ def _first_pairs(live: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
 
 
 def _later_pairs(live: DataFrame, bits: DataFrame, turn: int, percent: int, hubs: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of hubs (sig, cid), and pairs that may link. In groups of at most `hubs` sets all are hubs."""
+    """Rows of hubs (sig, cid), and pairs that may link. In groups of at most `hubs` sets all are hubs.
+
+    In larger ones hubs are of other components than the group's largest one: when all of these have met
+    the whole group, every pair of different components has.
+    """
     small, large = live.filter(F.col("m") <= hubs), live.filter(F.col("m") > hubs)
-    bucket = F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(hubs)).cast("int")
-    chosen = large.groupBy("sig", bucket.alias("bucket")).agg(F.max(F.struct("w", "cid")).alias("h")).select("sig", F.col("h.cid").alias("cid"))
+    parts = large.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("c"))
+    most = parts.groupBy("sig").agg(F.max(F.struct("c", "comp")).alias("g"), F.sum("c").alias("all"))
+    others = large.join(most, "sig").filter("comp <> g.comp").withColumn("x", F.expr("`all` - g.c"))
+    bucket = F.when(F.col("x") > hubs, F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(hubs))).otherwise(F.col("cid"))
+    chosen = others.groupBy("sig", bucket.alias("bucket")).agg(F.max(F.struct("w", "cid")).alias("h")).select("sig", F.col("h.cid").alias("cid"))
     led = large.join(chosen.withColumn("led", F.lit(True)), ["sig", "cid"], "left")
     salts = F.ceil(F.col("m") / (8 * STAR)).cast("int")
     names = ["sig", "cid", "n", "comp", "w"]
