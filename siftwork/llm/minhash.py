@@ -8,9 +8,10 @@
    corrected for chance agreement. Candidates whose estimate is SIGMAS standard deviations below p go.
 3. The others are confirmed on their full sets, by the vertical counts of the n-gram join (jaccard.py).
 4. Sets with an equal band key form a group, of one row a set. First each set meets one hub, the most central
-   set of its groups: stars, not all pairs, so that large groups of near copies cost linear work. Then hubs
+   set of its groups: stars, not all pairs, so that large groups of near copies cost linear work. Then sets
+   outside a group's largest component meet the nearest of GUIDES sets of that one, one pair each. At last hubs
    of each group that still has two components, from others than its largest one, meet all its members and
-   leave it, until no such group is left. These meetings compare packed bits within a task (hubs go to each salt of a large group).
+   leave it, until no such group is left: so every pair of sets of different components has met. These meetings compare packed bits within a task (hubs go to each salt of a large group).
 
 Hashes of shingles and ids of classes (documents with equal sets) have 64 bits.
 
@@ -47,8 +48,10 @@ K = BAND * BANDS
 SIGMAS = 5.5
 #: Shingles hashed at once.
 BLOCK = 1 << 15
-#: Hubs of a group in turns after the first one: few at first, as sets that these link need not meet others.
-HUBS = (8, 512)
+#: Turns in which sets meet the nearest of some sets of the group's largest component, and how many these are.
+GUIDED, GUIDES = 2, 64
+#: Hubs of a large group in later turns, which leave it when they have met the whole group.
+HUBS = 512
 
 _DRAW = random.Random(13)
 _FACTOR = np.array([_DRAW.getrandbits(64) | 1 for _ in range(K)], np.uint64)
@@ -209,6 +212,39 @@ def _near(percent: int):
     return run
 
 
+def _nearest(percent: int):
+    """For each member (side 1) the hub (side 0) of its group whose bits differ least, if that pair may link."""
+    names, most = ("cid", "n", "comp"), most_different(percent)
+
+    def run(batches):
+        key, hubs = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sig, salt, side = (np.asarray(b.column(c)) for c in ("sig", "salt", "side"))
+            new = (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1]) | (side[1:] != side[:-1])
+            starts = np.flatnonzero(np.append(True, new)).tolist()
+            columns = [*(np.asarray(b.column(c)) for c in names), _words(b.column("bits"))]
+            found = [[np.empty(0, np.int64)] * 6]
+            for a, e in zip(starts, [*starts[1:], b.num_rows], strict=True):
+                rows, here = [c[a:e] for c in columns], (int(sig[a]), int(salt[a]))
+                if here != key:
+                    key, hubs = here, None
+                if side[a] == 0:
+                    hubs = rows if hubs is None else [np.concatenate(c) for c in zip(hubs, rows, strict=True)]
+                    continue
+                for low in range(0, e - a if hubs is not None else 0, STAR):
+                    x = [c[low : low + STAR] for c in rows]
+                    different = unequal(hubs[3][:, None] ^ x[3])
+                    different[100 * np.minimum(hubs[1][:, None], x[1]) < percent * np.maximum(hubs[1][:, None], x[1])] = K + 1
+                    best = different.argmin(axis=0)
+                    ok = np.flatnonzero(different[best, np.arange(len(best))] <= most)
+                    found.append([c for k in range(3) for c in (hubs[k][best[ok]], x[k][ok])])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], ["hub", "cid", "hub_n", "n", "hub_comp", "comp"])
+
+    return run
+
+
 PAIRS = "hub long, cid long, hub_n long, n long, hub_comp long, comp long"
 
 
@@ -222,6 +258,25 @@ def _first_pairs(live: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return pairs.join(bits, "cid").join(hubs, "hub").select("hub", "cid", "hub_n", "n", "hub_comp", "comp", "hub_bits", "bits").mapInArrow(_likely(percent), PAIRS)
 
 
+def _outside(live: DataFrame) -> DataFrame:
+    """live with `g`, the largest component of the group, and `x`, how many sets are of others."""
+    parts = live.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("c"))
+    most = parts.groupBy("sig").agg(F.max(F.struct("c", "comp")).alias("g"), F.sum("c").alias("all"))
+    return live.join(most.select("sig", F.col("g.comp").alias("g"), (F.col("all") - F.col("g.c")).alias("x")), "sig")
+
+
+def _second_pairs(live: DataFrame, bits: DataFrame, turn: int, percent: int) -> DataFrame:
+    """For each set outside its group's largest component one pair a group: with the nearest of GUIDES sets of that one."""
+    marked = _outside(live)
+    bucket = F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(GUIDES)).cast("int")
+    guides = marked.filter("comp = g").groupBy("sig", bucket.alias("bucket")).agg(F.max(F.struct("w", "cid", "n", "comp")).alias("h"), F.max("x").alias("x"))
+    salts = F.ceil(F.col("x") / (8 * STAR)).cast("int")
+    rows = guides.select("sig", "h.cid", "h.n", "h.comp", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("side"))
+    rows = rows.unionByName(marked.filter("comp <> g").select("sig", "cid", "n", "comp", F.pmod(F.xxhash64("cid"), salts).cast("int").alias("salt"), F.lit(1).alias("side")))
+    dealt = rows.join(bits, "cid").repartition("sig", "salt").sortWithinPartitions("sig", "salt", "side")
+    return dealt.mapInArrow(_nearest(percent), PAIRS).distinct()
+
+
 def _later_pairs(live: DataFrame, bits: DataFrame, turn: int, percent: int, hubs: int) -> tuple[DataFrame, DataFrame]:
     """Rows of hubs (sig, cid), and pairs that may link. In groups of at most `hubs` sets all are hubs.
 
@@ -229,9 +284,7 @@ def _later_pairs(live: DataFrame, bits: DataFrame, turn: int, percent: int, hubs
     the whole group, every pair of different components has.
     """
     small, large = live.filter(F.col("m") <= hubs), live.filter(F.col("m") > hubs)
-    parts = large.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("c"))
-    most = parts.groupBy("sig").agg(F.max(F.struct("c", "comp")).alias("g"), F.sum("c").alias("all"))
-    others = large.join(most, "sig").filter("comp <> g.comp").withColumn("x", F.expr("`all` - g.c"))
+    others = _outside(large).filter("comp <> g")
     bucket = F.when(F.col("x") > hubs, F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(hubs))).otherwise(F.col("cid"))
     chosen = others.groupBy("sig", bucket.alias("bucket")).agg(F.max(F.struct("w", "cid")).alias("h")).select("sig", F.col("h.cid").alias("cid"))
     led = large.join(chosen.withColumn("led", F.lit(True)), ["sig", "cid"], "left")
@@ -258,7 +311,7 @@ def _groups(work: Scratch, shown: DataFrame) -> DataFrame:
     return out
 
 
-def minhash_components(spark: SparkSession, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, hubs: tuple[int, ...] = HUBS) -> DataFrame:
+def minhash_components(spark: SparkSession, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, hubs: int = HUBS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row: links are 100 * intersection >= percent * union."""
     ship(spark)
     work = Scratch(spark, "minhash")
@@ -280,8 +333,10 @@ def minhash_components(spark: SparkSession, docs: DataFrame, width: int = WIDTH,
         work.drop(rows)
         if not live.limit(1).count():
             break
-        if turn:
-            chosen, pairs = _later_pairs(live, bits, turn, percent, hubs[min(turn, len(hubs)) - 1])
+        if 0 < turn <= GUIDED:
+            pairs = work.table(_second_pairs(live, bits, turn, percent).join(tested, ["hub", "cid"], "left_anti"), "pairs")
+        elif turn:
+            chosen, pairs = _later_pairs(live, bits, turn, percent, hubs)
             pairs = work.table(pairs.join(tested, ["hub", "cid"], "left_anti"), "pairs")
             live = live.join(chosen, ["sig", "cid"], "left_anti")
         else:

@@ -17,7 +17,7 @@ def check(spark, rows, width, percent, parts=3, **options):
     assert got == brute(rows, width, percent)
 
 
-@pytest.mark.parametrize("width, percent, hubs", [(2, 80, (2, 3)), (5, 80, minhash.HUBS)])
+@pytest.mark.parametrize("width, percent, hubs", [(2, 80, 3), (5, 80, minhash.HUBS)])
 def test_families(spark, monkeypatch, width, percent, hubs):
     """Families of near copies at all distances, a passage that many hold, short texts, copies; small hubs and stars."""
     monkeypatch.setattr(minhash, "STAR", 4)
