@@ -11,7 +11,8 @@
    set of its groups: stars, not all pairs, so that large groups of near copies cost linear work. Then sets
    outside a group's largest component meet the nearest of GUIDES sets of that one, one pair each. At last hubs
    of each group that still has two components, from others than its largest one, meet all its members and
-   leave it, until no such group is left: so every pair of sets of different components has met. These meetings compare packed bits within a task (hubs go to each salt of a large group).
+   leave it, until no such group is left: so every pair of sets of different components has met. These meetings compare
+   packed bits and parity maps within a task (hubs go to each salt of a large group).
 
 Hashes of shingles and ids of classes (documents with equal sets) have 64 bits.
 
@@ -37,6 +38,7 @@ from ..session import Scratch, read, ship
 from .arrow import mix, sliced, texts
 from .bloom import bits_for, build, load, may_hold
 from .components import components
+from .fragments import parity
 from .jaccard import STAR, _digest, _grams, _links, _offsets
 from .words import SLICE, sets
 
@@ -50,6 +52,8 @@ SIGMAS = 5.5
 BLOCK = 1 << 15
 #: Turns in which sets meet the nearest of some sets of the group's largest component, and how many these are.
 GUIDED, GUIDES = 2, 64
+#: Bits of the largest parity map; smaller sets have two to four bits a shingle.
+MAP_BITS = 1 << 13
 #: Hubs of a large group in later turns, which leave it when they have met the whole group.
 HUBS = 512
 
@@ -116,6 +120,36 @@ def most_different(percent: int) -> int:
     return int(np.ceil(K * (1 - agree) + SIGMAS * (K * agree * (1 - agree)) ** 0.5))
 
 
+def _maps(batches):
+    """Parity maps (cid, map) of sets."""
+    for b in batches:
+        keys = b.column("keys")
+        off, flat = np.asarray(keys.offsets), np.asarray(keys.flatten()).view(np.uint64)
+        off = (off - off[0]).tolist()
+        maps = [parity(flat[x:y], min(MAP_BITS, 64 << max(0, (2 * (y - x) - 1) // 64).bit_length())) for x, y in zip(off, off[1:])]
+        yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(maps, pa.binary())], ["cid", "map"])
+
+
+def _folded(maps: np.ndarray, width: int) -> np.ndarray:
+    """Rows of `width` words: maps cut to that many by exclusive or, which is what a map of so many bits would be."""
+    return np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), axis=0) for x in maps])
+
+
+def apart(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many bits the maps of pairs (left[i], right[j]) differ: at most as many as shingles that one set has only."""
+    width = np.minimum(np.array([len(x) for x in left], np.int64)[i], np.array([len(x) for x in right], np.int64)[j])
+    out = np.empty(len(i), np.int64)
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        a, x = np.unique(i[at], return_inverse=True)
+        b, y = np.unique(j[at], return_inverse=True)
+        a, b = _folded(left[a], w), _folded(right[b], w)
+        for low in range(0, len(at), BLOCK):
+            part = slice(low, low + BLOCK)
+            out[at[part]] = np.bitwise_count(a[x[part]] ^ b[y[part]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def _shown(width: int):
     def run(batches):
         for b in batches:
@@ -170,7 +204,8 @@ def _likely(percent: int):
 def _near(percent: int):
     """Pairs of hubs (side 0) with each other, in salt 0, and with members (side 1), of rows sorted by (sig, salt, side).
 
-    A pair stays if it may link: other components, fitting sizes, and an estimate that is not too low.
+    A pair stays if it may link: other components, fitting sizes, an estimate that is not too low, and parity maps
+    that differ in no more bits than linked sets do in shingles.
     """
     names, most = ("cid", "n", "comp", "w"), most_different(percent)
 
@@ -180,6 +215,8 @@ def _near(percent: int):
             i, j = i[i < j], j[i < j]
         keep = np.concatenate([unequal(h[4][i[a : a + BLOCK]] ^ x[4][j[a : a + BLOCK]]) <= most for a in range(0, len(i), BLOCK)] or [np.empty(0, bool)])
         i, j = i[keep], j[keep]
+        keep = apart(h[5], x[5], i, j) <= (h[1][i] + x[1][j]) * (100 - percent) // (100 + percent)
+        i, j = i[keep], j[keep]
         first = (h[3][i] > x[3][j]) | (h[3][i] == x[3][j]) & (h[0][i] > x[0][j])  # the more central one is the hub
         return [c for k in range(3) for c in (np.where(first, h[k][i], x[k][j]), np.where(first, x[k][j], h[k][i]))]
 
@@ -191,7 +228,11 @@ def _near(percent: int):
             sig, salt, side = (np.asarray(b.column(c)) for c in ("sig", "salt", "side"))
             new = np.append(True, (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1]))
             starts = np.flatnonzero(new | np.append(False, side[1:] != side[:-1])).tolist()
-            columns = [*(np.asarray(b.column(c)) for c in names), _words(b.column("bits"))]
+            data, at = texts(b.column("map"))
+            maps = np.empty(b.num_rows, object)  # filled one by one: of arrays of one length NumPy would make a table
+            for i, (low, high) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                maps[i] = data[low:high].view(np.uint64)
+            columns = [*(np.asarray(b.column(c)) for c in names), _words(b.column("bits")), maps]
             found = []
             for a, e in zip(starts, [*starts[1:], b.num_rows], strict=True):
                 rows, here = [c[a:e] for c in columns], (int(sig[a]), int(salt[a]))
@@ -255,7 +296,7 @@ def _first_pairs(live: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     best = met.groupBy("cid", "n", "comp").agg(F.max("h").alias("h"))
     pairs = best.select(F.col("h.cid").alias("hub"), "cid", F.col("h.n").alias("hub_n"), "n", F.col("h.comp").alias("hub_comp"), "comp")
     hubs = bits.select(F.col("cid").alias("hub"), F.col("bits").alias("hub_bits"))
-    return pairs.join(bits, "cid").join(hubs, "hub").select("hub", "cid", "hub_n", "n", "hub_comp", "comp", "hub_bits", "bits").mapInArrow(_likely(percent), PAIRS)
+    return pairs.join(bits.drop("map"), "cid").join(hubs, "hub").select("hub", "cid", "hub_n", "n", "hub_comp", "comp", "hub_bits", "bits").mapInArrow(_likely(percent), PAIRS)
 
 
 def _outside(live: DataFrame) -> DataFrame:
@@ -273,7 +314,7 @@ def _second_pairs(live: DataFrame, bits: DataFrame, turn: int, percent: int) ->
     salts = F.ceil(F.col("x") / (8 * STAR)).cast("int")
     rows = guides.select("sig", "h.cid", "h.n", "h.comp", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("side"))
     rows = rows.unionByName(marked.filter("comp <> g").select("sig", "cid", "n", "comp", F.pmod(F.xxhash64("cid"), salts).cast("int").alias("salt"), F.lit(1).alias("side")))
-    dealt = rows.join(bits, "cid").repartition("sig", "salt").sortWithinPartitions("sig", "salt", "side")
+    dealt = rows.join(bits.drop("map"), "cid").repartition("sig", "salt").sortWithinPartitions("sig", "salt", "side")
     return dealt.mapInArrow(_nearest(percent), PAIRS).distinct()
 
 
@@ -323,7 +364,8 @@ def minhash_components(spark: SparkSession, docs: DataFrame, width: int = WIDTH,
     size = bits_for(ids.count())
     keys = plain.mapInArrow(_grams(width, build(ids.select("least"), "least", size), build(ids.select("cid"), "cid", size)), "cid long, keys array<long>")
     keys = work.table(keys.dropDuplicates(["cid"]), "keys")
-    bits = work.table(shown.filter("n > 0").join(ids.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.min("bits").alias("bits")), "bits")
+    bits = shown.filter("n > 0").join(ids.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.min("bits").alias("bits"))
+    bits = work.table(bits.join(keys.mapInArrow(_maps, "cid long, map binary"), "cid"), "bits")
     work.drop(ids)
     roots = tested = None
     turn = 0

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siftwork.llm import minhash
@@ -74,3 +75,38 @@ def test_estimates_are_corrected_and_near():
             passed += 1
     assert passed
     assert (1 - 0.8**minhash.BAND) ** minhash.BANDS < 1e-10
+
+
+def test_maps_of_any_widths_refuse_no_link():
+    """Maps differ in at most as many bits as sets do in shingles, and mostly in so many that near misses are refused."""
+    r = np.random.default_rng(8)
+    sets = []
+    for n in (1, 3, 30, 31, 33, 64, 65, 400, 6000):
+        x = r.integers(0, 2**63, 2 * n, dtype=np.uint64)
+        sets += [x[:n], x[: n + n // 9], np.concatenate([x[: n * 4 // 5], x[n : n + n // 5]]), x[n:]]
+    keys = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32), pa.array(np.concatenate(sets).view(np.int64)))
+    (out,) = minhash._maps([pa.RecordBatch.from_arrays([pa.array(range(len(sets))), keys], ["cid", "keys"])])
+    maps = np.empty(len(sets), object)
+    for i, m in enumerate(out.column("map").to_pylist()):
+        maps[i] = np.frombuffer(m, np.uint64)
+    i, j = (a.ravel() for a in np.indices((len(sets), len(sets))))
+    differ = minhash.apart(maps, maps, i, j)
+    exact = np.array([len(set(sets[a].tolist()) ^ set(sets[b].tolist())) for a, b in zip(i, j, strict=True)])
+    assert (differ <= exact).all() and (differ[i == j] == 0).all()
+    n = np.array([len(s) for s in sets])
+    limit = (n[i] + n[j]) // 9
+    over = (exact > 1.3 * limit) & (n[i] > 25) & (n[i] < 1000) & (n[j] > 25) & (n[j] < 1000)
+    assert over.any() and (differ[over] > limit[over]).mean() > 0.9
+
+
+def test_meetings_of_sets_of_one_size(spark):
+    """Sets of equal sizes in one group, most below the limit to each other: all meet, few pairs are left to confirm."""
+    r = random.Random(9)
+    base = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(150)]
+    texts = []
+    for _ in range(120):
+        words = list(base)
+        for at in r.sample(range(150), 13):
+            words[at] = "".join(r.choice("abcdefgh") for _ in range(6))
+        texts.append(" ".join(words))
+    check(spark, list(enumerate(texts)), 2, 80, hubs=8)
