@@ -51,11 +51,11 @@ SIGMAS = 5.5
 #: Shingles hashed at once.
 BLOCK = 1 << 15
 #: Turns in which sets meet the nearest of some sets of the group's largest component, and how many these are.
-GUIDED, GUIDES = 2, 64
+GUIDED, GUIDES = 1, 64
 #: Bits of the largest parity map; smaller sets have two to four bits a shingle.
 MAP_BITS = 1 << 13
 #: Hubs of a large group in later turns, which leave it when they have met the whole group.
-HUBS = 512
+HUBS = 2048
 
 _DRAW = random.Random(13)
 _FACTOR = np.array([_DRAW.getrandbits(64) | 1 for _ in range(K)], np.uint64)
