@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chunkers import chunk_files
 from ..functions.embed import embed_udf
+from ..operators.search import changed
 from ..operators.store import ChunkStore
 from ..session import ship
 from ..sources import folder as source
@@ -16,10 +17,10 @@ from ..sources import folder as source
 MAX_FAILED = 20
 
 
-def index_batch(store: ChunkStore, embedder, folder: str, changes: DataFrame) -> dict:
+def index_batch(store: ChunkStore, embedder, folder: str, changes: DataFrame, listed: DataFrame | None = None) -> dict:
     """Apply changes (op, path, mtime_ns), the last one of each path. Running it again changes nothing.
 
-    Files that are gone, blank, or not UTF-8 lose their rows.
+    Files that are gone, blank, or not UTF-8 lose their rows. What is returned counts the changes, or all of `listed`.
     """
     last = Window.partitionBy("path").orderBy(F.desc("mtime_ns"))
     final = changes.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
@@ -27,7 +28,7 @@ def index_batch(store: ChunkStore, embedder, folder: str, changes: DataFrame) ->
     chunks = chunk_files(texts.filter("content IS NOT NULL")).join(final.select("path", F.expr("mtime_ns div 1000000000").alias("mtime")), "path")
     made = chunks.withColumn("e", embed_udf(embedder)("content")).select("path", "start_line", "end_line", "chunk_kind", "content", F.coalesce("name", F.lit("")).alias("name"), "e.truncated", "mtime", "e.embedding", F.lit(embedder.model).alias("model"), F.lit(folder).alias("folder"), "chunk_ord")
     store.replace(folder, final.select("path"), made)
-    return progress(final, store.read().filter(F.col("folder") == folder), texts.filter("problem IS NOT NULL").select("path", "problem"))
+    return progress(final if listed is None else listed, store.read().filter(F.col("folder") == folder), texts.filter("problem IS NOT NULL").select("path", "problem"))
 
 
 def progress(files: DataFrame, chunks: DataFrame, problems: DataFrame | None = None) -> dict:
@@ -79,12 +80,18 @@ class Watcher:
         return folder
 
     def scan(self, folder: str) -> dict:
-        """Index a folder once; files that are gone lose their rows."""
+        """Index what changed in a folder; files that are gone lose their rows.
+
+        Unchanged are files that have rows of this model and of their time, in whole seconds. So an edit in the
+        same second as the one before is not seen, and files without rows (blank ones) are read again.
+        """
         folder = self._checked(folder)
         listed = self.spark.read.format("folder").option("path", folder).load()
-        known = self.store.read().filter(F.col("folder") == folder).select("path").distinct()
-        gone = known.join(listed, "path", "left_anti").select(F.lit("delete").alias("op"), "path", F.lit(0).cast("long").alias("mtime_ns"))
-        self.state[folder] = index_batch(self.store, self.embedder, folder, listed.unionByName(gone))
+        known = self.store.read().filter(F.col("folder") == folder).select("path", "mtime", "model").distinct()
+        edited = changed(listed.withColumn("mtime", F.expr("mtime_ns div 1000000000")), known.filter(F.col("model") == self.embedder.model)).select(*listed.columns)
+        gone = known.select("path").distinct().join(listed, "path", "left_anti").select(F.lit("delete").alias("op"), "path", F.lit(0).cast("long").alias("mtime_ns"))
+        changes = edited.unionByName(gone)
+        self.state[folder] = index_batch(self.store, self.embedder, folder, changes, listed) if changes.limit(1).count() else progress(listed, known)
         self._remember(folder, True)
         return self.state[folder]
 

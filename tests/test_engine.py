@@ -69,6 +69,29 @@ def test_scan_search_and_purge(spark, tree, engine, tmp_path):
     assert store.row_count() == 0
 
 
+def test_second_scan_embeds_what_changed(spark, tree, engine):
+    store, watch = engine
+    for name in ("blank.txt", "bad.txt"):
+        (tree / name).unlink()
+    first = watch.scan(str(tree))
+    rows, versions = sorted(store.read().collect()), len(list((tree.parent).glob("**/MANIFEST-*.json")))
+    broken = HashingEmbedder(64)
+    broken.max_tokens = "none"  # any text fails
+    watch.embedder = broken
+    assert watch.scan(str(tree)) == first and first["indexed"] == first["total"]
+    assert sorted(store.read().collect()) == rows and len(list((tree.parent).glob("**/MANIFEST-*.json"))) == versions
+    (tree / "b.md").unlink()  # a file less needs no vector either
+    assert watch.scan(str(tree))["total"] == first["total"] - 1
+    assert not store.read().filter(F.col("path").endswith("b.md")).count()
+    later = os.stat(tree / "a.rs").st_mtime + 10
+    os.utime(tree / "a.rs", (later, later))
+    with pytest.raises(Exception, match="slice"):
+        watch.scan(str(tree))
+    watch.embedder = HashingEmbedder(64)
+    watch.scan(str(tree))
+    assert {r.mtime for r in store.read().filter(F.col("path").endswith("a.rs")).collect()} == {int(later)}
+
+
 def test_stream_edits_and_deletes(spark, tree, engine):
     store, watch = engine
     q = watch.start(str(tree))
