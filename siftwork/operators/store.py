@@ -89,9 +89,12 @@ class ChunkStore:
         return self.read().count()
 
     def vacuum(self) -> None:
-        """Remove versions that no manifest but the last names."""
+        """Remove all manifests but the last, and versions that it does not name."""
         with self._lock:
             keep = set(self._manifest().values())
+            names = sorted(s.getPath().getName() for s in self._fs.globStatus(self._path(f"{self.root}/MANIFEST-*.json")) or [])
+            for name in names[:-1]:
+                self._fs.delete(self._path(f"{self.root}/{name}"), False)
             for s in self._fs.globStatus(self._path(f"{self.root}/v-*")) or []:
                 if not any(k.endswith(s.getPath().getName()) for k in keep):
                     self._fs.delete(s.getPath(), True)

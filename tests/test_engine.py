@@ -129,6 +129,19 @@ def test_old_tables_are_backfilled(spark, engine):
     assert (r.name, r.truncated, r.mtime) == ("", False, 0)
 
 
+def test_vacuum_keeps_the_current_version(spark, engine, tmp_path):
+    store, _ = engine
+    for k in range(3):
+        store.import_table("/f", spark.createDataFrame([(f"/f/{k}", 1, 2, "file", "x", [1.0])], "path string, start_line int, end_line int, chunk_kind string, content string, embedding array<float>"))
+    files = lambda kind: [p.name for p in (tmp_path / "store").glob(kind)]
+    assert len(files("MANIFEST-*.json")) == 3 and len(files("v-*")) == 3
+    store.vacuum()
+    assert files("MANIFEST-*.json") == ["MANIFEST-000000000003.json"] and len(files("v-*")) == 1
+    assert [r.path for r in store.read().collect()] == ["/f/2"]
+    store.delete_under("/f")
+    assert store.row_count() == 0 and sorted(files("MANIFEST-*.json"))[-1] == "MANIFEST-000000000004.json"
+
+
 def test_columns(spark):
     rows = [("What?", "# H\nA b. Cd e! x.y\n\nlast"), ("is", "no"), ("island", ""), (" how to ", "é."), ("", "x"), (None, "y")]
     got = spark.createDataFrame(rows, "q string, t string").select("q", text.is_question(F.col("q")).alias("a"), text.sentences(F.col("t")).alias("s")).collect()
