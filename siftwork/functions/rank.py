@@ -110,6 +110,14 @@ def hybrid(semantic: Column, fuzzy_score: Column | None, content: Column, weight
     return weights.semantic * semantic + weights.fuzzy * fuzzy_score + weights.content * content
 
 
+def stored_overlap(query: str, terms: Column) -> Column:
+    """overlap() by stored terms instead of the content; equal but for hashes of 64 bits that collide."""
+    asked = text.terms(query)
+    if not asked:
+        return F.lit(0.0)
+    return F.size(F.array_intersect(F.array(*[text.term_hash(F.lit(t)) for t in asked]), terms)) / len(asked)
+
+
 def overlap(query: str, content: Column) -> Column:
     terms = text.terms(query)
     return text.content_match(F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>"), content)

@@ -44,6 +44,15 @@ def query_terms(q: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(q), NOT_WORD), lambda t: F.octet_length(t) >= 3)))
 
 
+def term_hash(term: Column) -> Column:
+    return F.xxhash64(term)
+
+
+def stored_terms(content: Column) -> Column:
+    """The hashes of query_terms(content), sorted, as they are stored beside a content."""
+    return F.array_sort(F.transform(query_terms(content), term_hash))
+
+
 def content_match(terms: Column, content: Column) -> Column:
     """Share of the terms that are whole words of the content; 0 without terms."""
     words = F.split(F.lower(content), NOT_WORD)

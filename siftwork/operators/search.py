@@ -36,15 +36,21 @@ def top(scored: DataFrame, k: int) -> DataFrame:
 
 def hybrid_search(chunks: DataFrame, query: str, vector: list[float], k: int, folder: str | None = None, exclude: str | None = None, weights: rank.RankingWeights = rank.RankingWeights(), as_question: bool | None = None) -> DataFrame:
     """The k best chunks. For a question the fuzzy branch is not in the plan at all."""
-    asked = text.question(query) if as_question is None else as_question
     chunks = scoped(chunks, folder, exclude)
+    score = hybrid_score(chunks, query, vector, weights, as_question)
+    return top(chunks.withColumn("score", score), k).select(*HIT, "chunk_ord")
+
+
+def hybrid_score(chunks: DataFrame, query: str, vector: list[float], weights: rank.RankingWeights, as_question: bool | None) -> Column:
+    """Score of each row. Where chunks have stored terms, contents are not read for it."""
+    asked = text.question(query) if as_question is None else as_question
     fuzzy: Column | None = None
     if not asked:
         ship(chunks.sparkSession)
         # One pass with the similarity, in the same workers: no join, and no shuffle of chunks.
         fuzzy = rank.fuzzy(query)(text.file_name(F.col("path"))) if weights.fuzzy else F.lit(0.0)
-    score = rank.hybrid(rank.similarity(F.col("embedding"), vector), fuzzy, rank.overlap(query, F.col("content")), weights)
-    return top(chunks.withColumn("score", score), k).select(*HIT, "chunk_ord")
+    words = rank.stored_overlap(query, F.col("terms")) if "terms" in chunks.columns else rank.overlap(query, F.col("content"))
+    return rank.hybrid(rank.similarity(F.col("embedding"), vector), fuzzy, words, weights)
 
 
 def find_by_name(chunks: DataFrame, name: str, folder: str | None = None) -> DataFrame:
@@ -190,10 +196,15 @@ def possibly_stale(hits: DataFrame, listing: DataFrame) -> DataFrame:
     return hits.join(listing, "path", "left").withColumn("possibly_stale", F.coalesce(F.col("disk_mtime") > F.col("mtime"), F.lit(False))).drop("disk_mtime")
 
 
+def last_rows(new: DataFrame) -> DataFrame:
+    """The last row of each (path, start_line)."""
+    last = Window.partitionBy("path", "start_line").orderBy(F.desc("chunk_ord"))
+    return new.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
+
+
 def upsert(chunks: DataFrame, new: DataFrame, paths: DataFrame) -> DataFrame:
     """chunks with the rows of `paths` replaced by `new`, whose last row of each key wins."""
-    last = Window.partitionBy("path", "start_line").orderBy(F.desc("chunk_ord"))
-    fresh = new.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
+    fresh = last_rows(new)
     return chunks.join(paths.select("path").distinct(), "path", "left_anti").select(*chunks.columns).unionByName(fresh.select(*chunks.columns))
 
 

@@ -71,7 +71,7 @@ class Engine:
     def _pool(self, query: str, k: int, folder: str | None, exclude: str | None, weights: rank.RankingWeights) -> DataFrame:
         """At most max(k, POOL) ranked rows, computed once and sliced by what follows."""
         vector = self.embedder.embed(query)[0]
-        hits = search.hybrid_search(self._chunks(), query, vector, max(k, search.POOL), self._scope(folder), self._scope(exclude), weights)
+        hits = self.store.search(query, vector, max(k, search.POOL), self._scope(folder), self._scope(exclude), weights, model=self.embedder.model)
         spark = hits.sparkSession
         return spark.createDataFrame(hits.collect(), hits.schema)
 

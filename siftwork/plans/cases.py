@@ -205,6 +205,30 @@ def _stored(s: SparkSession, d: str) -> DataFrame:
     return store.read().select("path", "content", "name", "mtime", F.size("embedding").alias("dim"))
 
 
+def _log(s: SparkSession, d: str) -> DataFrame:
+    """Ten deltas, of which some are merged, over a part that is laid out by cells, and a read."""
+    store, code = _store(s, d)
+    store.optimize(per_cell=256)
+    for i in range(10):
+        paths = code.filter(F.col("mtime") % 16 == i)
+        store.replace(catalogue.CODE, paths.select("path"), paths.filter("mtime % 3 <> 0").withColumn("content", F.lit(f"v{i}")))
+    return store.read().select("path", "content", "name")
+
+
+def _bounded(query: str, question: bool):
+    """hybrid_search over a store that reads only cells which can hold one of the best."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        ship(s)
+        store = ChunkStore(s, f"{shared_dir(s)}/siftwork/store-{uuid.uuid4().hex}")
+        store.import_table("/watched", catalogue.chunks(s, d))
+        store.optimize(per_cell=256)
+        hits = store.search(query, catalogue.vector_of(s, d), catalogue.K, as_question=question)
+        return hits.select("path", "start_line", F.round("score", 6).alias("score"))
+
+    return run
+
+
 def _listed(s: SparkSession, d: str) -> DataFrame:
     """Files made of the benchmark texts in folders with ignore rules, listed by the source and read; paths below the root."""
     ship(s)
@@ -237,7 +261,7 @@ def _progress(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "chunk_cases": _chunks, "chunk_nested": _nested, "chunk_languages": _languages, "hybrid_default_weights": _hybrid, "embedding_sums": _embedded, "store_round_trip": _stored, "folder_listing": _listed, "index_progress": _progress,
+    "chunk_cases": _chunks, "chunk_nested": _nested, "chunk_languages": _languages, "hybrid_default_weights": _hybrid, "embedding_sums": _embedded, "store_round_trip": _stored, "store_log": _log, "bounded_search": _bounded("md", False), "bounded_search_question": _bounded(catalogue.QUERY, True), "folder_listing": _listed, "index_progress": _progress,
     "store_row_count": lambda s, d: s.createDataFrame([(_store(s, d)[0].row_count(),)], "n long"),
     "fuzzy_filename": lambda s, d: (ship(s), read(s, d, "part").select(F.col("p_name").alias("name")).distinct().withColumn("score", F.round(rank.fuzzy(FUZZY)("name"), 6)))[1],
     "blank_filter": lambda s, d: read(s, d, "documents").filter(~text.is_blank(F.coalesce("text", F.lit("")))).select("doc_id"),
@@ -248,6 +272,8 @@ SQL = {
     "hybrid_default_weights": catalogue._BASE + ", " + _fuzzy_sql("SELECT DISTINCT regexp_extract(path, '[^/]*$') AS name FROM chunks", "md") + f", z AS (SELECT s.path, s.start_line, 0.55 * sem + 0.30 * (raw / (raw + 50.0)) AS score FROM s JOIN f ON regexp_extract(s.path, '[^/]*$') = f.name) SELECT path, start_line, round(score, 6) AS score FROM (SELECT * FROM z ORDER BY score DESC, path LIMIT {catalogue.K})",
     "embedding_sums": _EMBED_SQL,
     "store_round_trip": f"WITH c AS (SELECT '{catalogue.CODE}/' || label || '/' || vec_id || '.rs' AS path, vec_id, label, len(embedding)::INT AS dim FROM embeddings) SELECT path, CASE WHEN label = 1 THEN 'new' ELSE 'fn fn_' || vec_id || '() {{ the one }}' END AS content, CASE WHEN label = 1 THEN 'fn_' || vec_id ELSE '' END AS name, CASE WHEN label = 1 THEN vec_id ELSE 0 END AS mtime, dim FROM c WHERE label <> 2 AND (label <> 1 OR vec_id % 2 = 0)",
+    "store_log": f"SELECT '{catalogue.CODE}/' || label || '/' || vec_id || '.rs' AS path, CASE WHEN vec_id % 16 < 10 THEN 'v' || (vec_id % 16) ELSE 'fn fn_' || vec_id || '() {{ the one }}' END AS content, CASE WHEN vec_id % 16 < 10 THEN 'fn_' || vec_id ELSE '' END AS name FROM embeddings WHERE vec_id % 16 >= 10 OR vec_id % 3 <> 0",
+    "bounded_search_question": catalogue.SQL["hybrid_search_question"],
     "store_row_count": "SELECT count(*) AS n FROM embeddings",
     "folder_listing": """WITH b AS (SELECT item_id AS i, item_id % 3 AS f, CASE item_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.log' WHEN 2 THEN '.txt' ELSE '.rs' END AS x, coalesce(text, '') AS text FROM benchmark),
 k AS (SELECT *, length(regexp_replace(text, '\\s', '', 'g')) = 0 AS blank FROM b WHERE f <> 2 AND (x <> '.log' OR i = 2) AND NOT (f = 1 AND x = '.txt' AND i <> 7))
@@ -257,3 +283,4 @@ SELECT 'scan' AS op, 'deep/' || f || '/' || i || x AS path, CASE WHEN NOT blank
     "blank_filter": r"SELECT doc_id FROM documents WHERE length(regexp_replace(coalesce(text, ''), '\s', '', 'g')) > 0",
     "result_lines": catalogue._BASE + " SELECT path, CASE WHEN chunk_kind <> 'file' THEN start_line + 4 WHEN mtime % 2 = 0 THEN 9 ELSE 1 END AS line FROM chunks",
 }
+SQL["bounded_search"] = SQL["hybrid_default_weights"]

@@ -13,10 +13,10 @@ BACKFILL = {"name": "''", "truncated": "false", "mtime": "0L", "model": "''", "f
 TIES = ["path", "start_line", "chunk_ord"]
 
 
-def backfill(df: DataFrame) -> DataFrame:
-    """df with the columns of CHUNKS; missing ones have their default."""
+def backfill(df: DataFrame, *more: str) -> DataFrame:
+    """df with the columns of CHUNKS, and `more`; missing ones of CHUNKS have their default."""
     for name, value in BACKFILL.items():
         if name not in df.columns:
             df = df.withColumn(name, F.expr(value))
     kinds = dict(x.split() for x in CHUNKS.split(", "))
-    return df.select(*[F.col(c).cast(kinds[c]).alias(c) for c in COLUMNS])
+    return df.select(*[F.col(c).cast(kinds[c]).alias(c) for c in COLUMNS], *more)
