@@ -142,13 +142,14 @@ def resolve_revisits(spark: SparkSession, captures: DataFrame, bucket: int = BUC
     full = (F.col("kind") == "response") & F.col("status").isin(FULL)
     same_record = F.sha2(F.to_json(F.struct("url", "ts", "status", F.array_sort(F.map_entries("headers")).alias("h"), F.sha2("body", 256).alias("b"))), 256)
     profile = F.col("profile") if "profile" in captures.columns else F.lit(None).cast("string")
-    captures = captures.select("record_id", "kind", "url", "ts", profile.alias("profile"), "status", "headers", "body")
-    same_profile = F.coalesce(F.col("profile").endswith("/server-not-modified"), F.lit(False))
-    resolved = same_profile | F.coalesce(F.col("status") == 304, F.col("profile").isNull())
-    others = captures.filter((F.col("kind") == "revisit") & ~resolved)
-    captures = captures.filter((F.col("kind") != "revisit") | resolved)
+    same_profile = F.coalesce(profile.endswith("/server-not-modified"), F.lit(False))
+    other = (F.col("kind") == "revisit") & ~(same_profile | F.coalesce(F.col("status") == 304, profile.isNull()))
+    captures = captures.select("record_id", "kind", "url", "ts", "status", "headers", "body", other.alias("other"))
     rows = captures.filter(full | (F.col("kind") == "revisit")).withColumn("curl", canonical(F.col("url")))
-    rows = work.table(rows.withColumn("key", F.coalesce(F.concat(F.lit("i"), "record_id"), F.concat(F.lit("h"), same_record))), "captures")
+    rows = rows.withColumn("key", F.when(~F.col("other"), F.coalesce(F.concat(F.lit("i"), "record_id"), F.concat(F.lit("h"), same_record))))
+    # Captures are read, and so parsed, once; of other revisits nothing but their place goes into the table.
+    kept = work.table(rows.withColumns({c: F.when(~F.col("other"), F.col(c)) for c in ("headers", "body")}), "captures")
+    rows, others = kept.filter(~F.col("other")).drop("other"), kept.filter("other")
     # A revisit brings what it may update; only that and the validators go through the windows.
     new = F.when(F.col("kind") == "revisit", F.expr(f"map_filter(coalesce(headers, map()), (k, v) -> k IN ({listed}))"))
     slim = rows.select("curl", "ts", "kind", "record_id", "key", F.expr(f"ts div {bucket}").alias("bucket"), "status", F.col("headers")["etag"].alias("etag"), F.col("headers")["last-modified"].alias("modified"), new.alias("new"))
@@ -173,7 +174,7 @@ def resolve_revisits(spark: SparkSession, captures: DataFrame, bucket: int = BUC
     joined = judged.join(bodies, "of_key", "left")
     merged = F.expr(f"map_concat(map_filter(coalesce(r_headers, map()), (k, v) -> NOT (k IN ({listed}) AND map_contains_key(coalesce(new, map()), k))), map_filter(coalesce(new, map()), (k, v) -> k IN ({listed})))")
     ok = F.col("outcome").isin("matched", "unverified")
-    other = others.select("record_id", canonical(F.col("url")).alias("url"), "ts", F.lit("other").alias("outcome"), none.alias("response_id"), F.lit(None).cast("int").alias("status"), F.lit(None).cast("map<string,string>").alias("headers"), F.lit(None).cast("binary").alias("body"))
+    other = others.select("record_id", F.col("curl").alias("url"), "ts", F.lit("other").alias("outcome"), none.alias("response_id"), F.lit(None).cast("int").alias("status"), F.lit(None).cast("map<string,string>").alias("headers"), F.lit(None).cast("binary").alias("body"))
     out = joined.select("record_id", F.col("curl").alias("url"), "ts", "outcome", "response_id", F.when(ok, F.col("r_status")).alias("status"), F.when(ok, merged).alias("headers"), F.when(ok, F.col("body")).alias("body"))
     return out.unionByName(other)
 
