@@ -50,7 +50,9 @@ def term_hash(term: Column) -> Column:
 
 def stored_terms(content: Column) -> Column:
     """The hashes of query_terms(content), sorted, as they are stored beside a content."""
-    return F.array_sort(F.transform(query_terms(content), term_hash))
+    # Numbers, not words, are made distinct and sorted, and by sort_array: array_sort compares by a lambda.
+    words = F.filter(F.split(F.lower(content), NOT_WORD), lambda t: F.octet_length(t) >= 3)
+    return F.sort_array(F.array_distinct(F.transform(words, term_hash)))
 
 
 def content_match(terms: Column, content: Column) -> Column:

@@ -19,7 +19,7 @@ from ..schema import TIES
 from ..session import ship
 
 #: Rows of a cell that are aimed at, most cells of a part, rows of a written file that are aimed at.
-PER_CELL, MOST, PER_FILE = 4096, 1024, 1 << 16
+PER_CELL, MOST, PER_FILE = 4096, 1024, 1 << 14
 #: Added to a bound for rounding.
 SLACK = 1e-6
 PLACE = "struct<cell: int, gap: double, angle: double, norm: double>"
@@ -77,7 +77,8 @@ def lay_out(rows: DataFrame, root: str, per_cell: int = PER_CELL, most: int = MO
     centers = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(pivots)], "cell int, pivot array<double>")
     stats.join(F.broadcast(centers), "cell", "left").coalesce(1).write.parquet(f"{root}/cells")
     words = written.select("cell", F.explode("terms").alias("term")).distinct()
-    words.repartitionByRange("term").sortWithinPartitions("term", "cell").write.parquet(f"{root}/words")
+    # Sorted as distinct() dealt them, so that they are shuffled once; a term's pairs may lie in several files.
+    words.sortWithinPartitions("term").write.parquet(f"{root}/words")
     written.select("cell", text.file_name(F.col("path")).alias("name")).distinct().write.parquet(f"{root}/names")
 
 
